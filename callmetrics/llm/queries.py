@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.llm import canonical_list, formatting, overlap
+from callmetrics.llm import canonical_list, formatting, leakage, overlap
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +70,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.select(F.lit("request").alias("kind"), "*").union(tools.select(F.lit("tool").alias("kind"), "*"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
