@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.llm import canonical_list, formatting, leakage, overlap
+from callmetrics.llm import canonical_list, formatting, leakage, overlap, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.select(F.lit("request").alias("kind"), "*").union(tools.select(F.lit("tool").alias("kind"), "*"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents the packing had to split."""
+    return p6_packed(spark, sf_dir).where("token_start > 0").select("doc_id").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
