@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.llm import canonical_list, formatting, leakage, overlap, packing
+from callmetrics.llm import canonical_list, formatting, leakage, overlap, packing, subjects
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,5 +83,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
 
+def classified(spark: SparkSession, sf_dir: str, calibrate: bool) -> DataFrame:
+    return subjects.classified(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")), calibrate=calibrate)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir, False).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, mean share of sentences and expected number of annotators' namings by subject."""
+    return classified(spark, sf_dir, True).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.avg("share").alias("mean_share"), F.sum("posterior").alias("expected"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
