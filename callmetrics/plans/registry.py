@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from callmetrics.plans import nested, records, routing, tasks, tools
+
+MODULES = (records, tools, tasks, routing, nested)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in getattr(m, "SQL", {}).items()}
