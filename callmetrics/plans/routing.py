@@ -1,4 +1,124 @@
-"""."""
+"""Queries over routing examples and search: anchors, ranks, distractors, top-k, line scans."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from callmetrics.functions import similarity, stats, text
+from callmetrics.operators import search
+from callmetrics.plans.views import ABSTAIN, TOOLS, read, tools
+
+
+def examples(spark, d):
+    return read(spark, d, "routing_examples").withColumn("split", F.trim(F.lower("split")))
+
+
+def d7_anchors(spark, d):
+    """The anchor of each example: its correct tool if known, else its target; examples without either are dropped."""
+    known = tools(spark, d).select("tool_id")
+    r = examples(spark, d)
+    by = lambda c: known.select(F.col("tool_id").alias(c), F.col("tool_id").alias(f"{c}_known"))
+    j = r.join(by("correct_tool_id"), "correct_tool_id", "left").join(by("target_tool_id"), "target_tool_id", "left")
+    return j.select("id", F.coalesce("correct_tool_id_known", "target_tool_id_known").alias("anchor")).where("anchor IS NOT NULL")
+
+
+def d12_tool_mentions(spark, d):
+    """Examples by tool that is their correct or their target one: two equi-joins and a distinct instead of an OR."""
+    r, t = examples(spark, d), tools(spark, d).select("tool_id")
+    either = r.select("id", F.col("correct_tool_id").alias("tool_id")).union(r.select("id", "target_tool_id")).distinct()
+    return either.join(t, "tool_id").groupBy("tool_id").agg(F.count(F.lit(1)).alias("examples"))
+
+
+def f12_gold_rank(spark, d):
+    rank = F.nullif(F.array_position("candidate_tool_ids", F.col("correct_tool_id")), F.lit(0))
+    return examples(spark, d).select("id", rank.alias("gold_rank"), F.coalesce(rank <= 3, F.lit(False)).alias("hit_at_3"))
+
+
+def e4_routing_summary(spark, d):
+    """By level, by split and in all: hit rate and mean gold rank (examples whose gold isn't among the candidates skipped)."""
+    r = examples(spark, d).withColumn("rank", F.nullif(F.array_position("candidate_tool_ids", F.col("correct_tool_id")), F.lit(0)))
+    r = r.withColumns({"split": F.coalesce("split", F.lit("unknown")), "gold": F.col("correct_tool_id") != ABSTAIN})
+    return r.groupingSets([[F.col("distractor_level")], [F.col("split")], []], "distractor_level", "split").agg(
+        F.count(F.lit(1)).alias("examples"), F.count_if("gold").alias("positives"), stats.mean(F.coalesce(F.col("rank") <= 3, F.lit(False))).alias("hit_at_3"),
+        F.round(F.avg("rank") + stats.TIE, 4).alias("avg_gold_rank"), stats.mean(F.col("candidate_set_size")).alias("avg_candidates"), F.grouping_id("distractor_level", "split").alias("grain"),
+    )
+
+
+def e24_distractors(spark, d):
+    """Mean name similarity of candidates with their anchor, by level: candidates exploded, both sides joined on ids."""
+    names = tools(spark, d, "tool_name").select("tool_id", F.array_distinct(text.distractor_tokens(F.col("tool_name"))).alias("w"))
+    c = examples(spark, d).join(d7_anchors(spark, d), "id").select("id", "distractor_level", "anchor", "correct_tool_id", "target_tool_id", F.explode("candidate_tool_ids").alias("tool_id"))
+    c = c.where("tool_id <> correct_tool_id AND tool_id <> target_tool_id")
+    j = c.join(names, "tool_id").join(names.select(F.col("tool_id").alias("anchor"), F.col("w").alias("aw")), "anchor")
+    return j.groupBy("distractor_level").agg(F.count(F.lit(1)).alias("candidates"), stats.mean(F.round(similarity.jaccard(F.col("w"), F.col("aw")), 4)).alias("avg_name_similarity"))
+
+
+def f10_distractors(spark, d):
+    """Three tools of the same domain for each tool with an id divisible by 20, in an order made by hashes.
+
+    Tools of a domain stand in 16 hashed rows; a tool's distractors are the next ones in its row. So no domain is gathered in
+    one task and no pairs of a domain are made.
+    """
+    t = tools(spark, d, "domain").withColumns({"domain": F.coalesce(F.nullif(text.normalized_request(F.col("domain")), F.lit("")), F.lit("general")), "k": F.md5(F.concat(F.lit("9|"), "tool_id"))})
+    w = Window.partitionBy("domain", F.substring("k", 1, 1)).orderBy("k")
+    near = F.array_compact(F.array(*[F.lead("tool_id", i).over(w) for i in (1, 2, 3)]))
+    t = t.withColumn("near", near).where(F.regexp_extract("tool_id", "([0-9]+)$", 1).cast("long") % 20 == 0)
+    return t.select("tool_id", F.posexplode("near").alias("rank", "distractor"))
+
+
+def f7_search(spark, d):
+    """The three tools of each held-out item with the highest lexical score over their purposes and snippets."""
+    t = tools(spark, d, "tool_purpose", "doc_snippets").select(F.col("tool_id").alias("id"), F.concat_ws(" ", "tool_purpose", F.array_join("doc_snippets", " ")).alias("text"))
+    q = read(spark, d, "heldout_items").select(F.col("item_id").alias("id"), "text")
+    return search.top_k(t, q).select(F.col("query_id").alias("item_id"), F.col("id").alias("tool_id"), "score", "rank")
+
+
+def k13_line_scan(spark, d):
+    """Lines that report an error number, and whether a rejection or refusal stands within two lines of them."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(-2, 2)
+    near = F.max(F.lower("text").rlike("reject|refus").cast("int")).over(w)
+    found = lines.withColumn("near", near).where(F.col("text").rlike("error [0-9]+"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("errors"), F.sum("near").cast("long").alias("with_marker"))
+
+
+def n29_progress(spark, d):
+    """Of the plan (each example at each model), the part done: distinct keys of records that are in the plan, and those that aren't."""
+    p = read(spark, d, "predictions").select("task_id", "model_slug").distinct()
+    plan = examples(spark, d).select(F.col("source_control_id").alias("task_id")).distinct()
+    done = p.join(plan.withColumn("planned", F.lit(True)), "task_id", "left")
+    return done.groupBy("model_slug").agg(F.count("planned").alias("completed"), F.count_if(F.col("planned").isNull()).alias("ignored"))
+
+
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "defkn" and k[1:2].isdigit()}
+
+M = lambda x: f"round(coalesce(avg(CAST({x} AS DOUBLE)), 0) + 1e-9::DOUBLE, 4)"
+W = f"WITH {TOOLS}"
+DIST = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), lambda x: length(x) > 1))"
+ANCHORS = f"{W}, an AS (SELECT id, coalesce(c.tool_id, t.tool_id) AS anchor FROM routing_examples r LEFT JOIN tl c ON c.tool_id = r.correct_tool_id LEFT JOIN tl t ON t.tool_id = r.target_tool_id WHERE coalesce(c.tool_id, t.tool_id) IS NOT NULL)"
+TERMS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9_./*?-]+')"
+PAIRED = "list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))"
+SQL = {
+    "d7_anchors": f"{ANCHORS} SELECT id, anchor FROM an",
+    "d12_tool_mentions": f"{W} SELECT tl.tool_id, count(*) AS examples FROM tl JOIN routing_examples r ON tl.tool_id = r.correct_tool_id OR tl.tool_id = r.target_tool_id GROUP BY 1",
+    "f12_gold_rank": "SELECT id, nullif(list_position(candidate_tool_ids, correct_tool_id), 0) AS gold_rank, coalesce(nullif(list_position(candidate_tool_ids, correct_tool_id), 0) <= 3, false) AS hit_at_3 FROM routing_examples",
+    "e4_routing_summary": f"""WITH r AS (SELECT distractor_level, candidate_set_size, coalesce(trim(lower(split)), 'unknown') AS split, correct_tool_id <> '__abstain__' AS gold, nullif(list_position(candidate_tool_ids, correct_tool_id), 0) AS rank FROM routing_examples)
+      SELECT distractor_level, split, count(*) AS examples, count_if(gold) AS positives, {M('coalesce(rank <= 3, false)')} AS hit_at_3, round(avg(rank) + 1e-9::DOUBLE, 4) AS avg_gold_rank, {M('candidate_set_size')} AS avg_candidates, grouping(distractor_level, split) AS grain
+      FROM r GROUP BY GROUPING SETS ((distractor_level), (split), ())""",
+    "e24_distractors": f"""{ANCHORS}, nm AS (SELECT tool_id, {DIST('tool_name')} AS w FROM tl), c AS (SELECT id, distractor_level, correct_tool_id, target_tool_id, unnest(candidate_tool_ids) AS tool_id FROM routing_examples),
+      j AS (SELECT distractor_level, CASE WHEN len(list_distinct(list_concat(n.w, m.w))) = 0 THEN 0 ELSE round(len(list_intersect(n.w, m.w))::DOUBLE / len(list_distinct(list_concat(n.w, m.w))), 4) END AS s
+        FROM c JOIN an USING (id) JOIN nm n ON n.tool_id = c.tool_id JOIN nm m ON m.tool_id = an.anchor WHERE c.tool_id <> correct_tool_id AND c.tool_id <> target_tool_id)
+      SELECT distractor_level, count(*) AS candidates, {M('s')} AS avg_name_similarity FROM j GROUP BY 1""",
+    "f10_distractors": f"""{W}, t AS (SELECT tool_id, coalesce(nullif(trim(regexp_replace(lower(coalesce(domain, '')), '\\s+', ' ', 'g')), ''), 'general') AS domain, md5('9|' || tool_id) AS k FROM tl),
+      n AS (SELECT *, row_number() OVER (PARTITION BY domain, k[1] ORDER BY k) AS i FROM t)
+      SELECT a.tool_id, CAST(b.i - a.i - 1 AS INT) AS rank, b.tool_id AS distractor FROM n a JOIN n b ON a.domain = b.domain AND a.k[1] = b.k[1] AND b.i BETWEEN a.i + 1 AND a.i + 3 WHERE regexp_extract(a.tool_id, '([0-9]+)$', 1)::BIGINT % 20 = 0""",
+    "f7_search": f"""{W}, d AS (SELECT tool_id, unnest({PAIRED}) AS w FROM (SELECT tool_id, {TERMS("concat_ws(' ', tool_purpose, array_to_string(list_filter(doc_snippets, lambda x: x IS NOT NULL), ' '))")} AS t FROM tl)),
+      q AS (SELECT item_id, unnest({PAIRED}) AS w FROM (SELECT item_id, {TERMS('text')} AS t FROM heldout_items)),
+      s AS (SELECT item_id, tool_id, CAST(sum(CASE WHEN contains(w, ' ') THEN 4 ELSE 2 END) AS BIGINT) AS score FROM d JOIN q USING (w) GROUP BY 1, 2)
+      SELECT item_id, tool_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, tool_id) AS r FROM s) WHERE r <= 3""",
+    "k13_line_scan": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
+      n AS (SELECT *, max(regexp_matches(lower(t), 'reject|refus')::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l)
+      SELECT doc_id, count(*) AS errors, CAST(sum(near) AS BIGINT) AS with_marker FROM n WHERE regexp_matches(t, 'error [0-9]+') GROUP BY 1""",
+    "n29_progress": "WITH p AS (SELECT DISTINCT task_id, model_slug FROM predictions) SELECT model_slug, count_if(task_id IN (SELECT source_control_id FROM routing_examples)) AS completed, count_if(NOT coalesce(task_id IN (SELECT source_control_id FROM routing_examples), false)) AS ignored FROM p GROUP BY 1",
+}
