@@ -130,7 +130,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     rows, rooms = [], Rooms(capacity)
     big = np.array([s for s in histogram if s > large * capacity and s < capacity], int)
     if len(big):
-        parts = grouped(big, np.array([histogram[s] for s in big.tolist()]), groups)
+        # as few sizes as groups need no rounding
+        parts = [[(s, histogram[s])] for s in sorted(big.tolist(), reverse=True)] if len(big) <= groups else grouped(big, np.array([histogram[s] for s in big.tolist()]), groups)
         # groups may share a size at their border; rounded sizes that are equal are one
         merged: dict[int, list[tuple[int, int]]] = {}
         for g in parts:
