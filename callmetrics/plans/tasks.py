@@ -9,12 +9,12 @@ from callmetrics.functions import text
 from callmetrics.operators import requests as rq
 from callmetrics.plans.views import ABSTAIN, TASKS, TOOLS, read, tasks, tools
 
-SPLIT = F.trim(F.lower("split"))
+SPLIT = "trim(lower(split))"
 
 
 def requests(spark, d):
     t = tasks(spark, d, "tool_id", "tool_name", "user_request", "split", "source", "should_trigger", "negative_category", "difficulty")
-    return t.withColumns({"split": SPLIT, "request": text.normalized_request(F.col("user_request")), "should_trigger": F.coalesce("should_trigger", F.lit(True)), "difficulty": F.lower("difficulty")})
+    return t.withColumns({"split": F.expr(SPLIT), "request": text.normalized_request(F.col("user_request")), "should_trigger": F.coalesce("should_trigger", F.lit(True)), "difficulty": F.lower("difficulty")})
 
 
 def is_train():
