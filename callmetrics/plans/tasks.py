@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import text
 from callmetrics.operators import requests as rq
+from callmetrics.operators import validation
 from callmetrics.plans.views import ABSTAIN, TASKS, TOOLS, read, tasks, tools
 
 SPLIT = "trim(lower(split))"
@@ -123,6 +124,20 @@ def c8_arguments(spark, d):
     return g.select("task_id", F.size("keys").alias("given"), F.size(F.array_except("keys", "known")).alias("unlisted"), recall.alias("recall"))
 
 
+def c9_gold_issues(spark, d):
+    """Issues of gold arguments under their tool's schema, by code and difficulty."""
+    t = tools(spark, d, "input_schema_raw", "arguments").withColumnRenamed("input_schema_raw", "schema")
+    e = tasks(spark, d, "tool_id", "expected_arguments", "difficulty").withColumnRenamed("expected_arguments", "expected")
+    found = validation.validated(e.join(t, "tool_id"))
+    return found.join(e.select("task_id", F.lower("difficulty").alias("difficulty")), "task_id").groupBy("code", "difficulty").agg(F.count(F.lit(1)).alias("issues"), F.countDistinct("task_id").alias("tasks"))
+
+
+def c1_canonical_arguments(spark, d):
+    """How often each set of gold arguments is given, members in order."""
+    c = F.to_json(F.try_parse_json("expected_arguments"))
+    return tasks(spark, d, "expected_arguments").where("expected_arguments IS NOT NULL").groupBy(F.md5(c).alias("arguments")).agg(F.count(F.lit(1)).alias("tasks"))
+
+
 def n11_slot_values(spark, d):
     """Of each argument name in gold arguments: how often it is given, its distinct values, and the least one."""
     e = tasks(spark, d, "expected_arguments").select(F.explode(F.from_json("expected_arguments", "map<string,string>")).alias("argument", "value"))
@@ -203,4 +218,6 @@ SQL = {
     "c16_boundaries": f"{GEN}, x AS (SELECT category, {ROUTE('user_request')} AS tx, {ROUTE('tool_name')} AS nm FROM ge) SELECT category, {NAMED(rq.FORBID)} AS forbids, NOT {NAMED(rq.FORBID)} AND {NAMED(rq.SELECT)} AS selects, {REASON} AS reason, count(*) AS controls FROM x GROUP BY 1, 2, 3, 4",
     "c18_abstentions": f"WITH {TASKS}, x AS (SELECT {ROUTE('user_request')} AS tx FROM ev) SELECT {REASON} AS reason, count(*) AS tasks FROM x GROUP BY 1",
     "a24_late_rows": "SELECT CAST(floor((epoch_us(ingested_at) - epoch_us(created_at)) / 86400000000) AS BIGINT) AS days, count(*) AS rows FROM eval_tasks GROUP BY 1",
+    "c1_canonical_arguments": f"""WITH {TASKS}, c AS (SELECT '{{' || array_to_string(list_transform(list_sort(json_keys(expected_arguments)), lambda k: '"' || k || '":' || json_extract(expected_arguments, '$."' || k || '"')::VARCHAR), ',') || '}}' AS c FROM ev WHERE expected_arguments IS NOT NULL)
+      SELECT md5(c) AS arguments, count(*) AS tasks FROM c GROUP BY 1""",
 }

@@ -206,6 +206,27 @@ def n22_memory(spark, d):
     return m.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("tool_id").alias("tools"), F.sum(text.word_count(F.col("text"))).cast("long").alias("words"))
 
 
+def d13_adjacent(spark, d):
+    """The first other tool of each tool's domain by id, else the first of all: two minima a domain, no pairs."""
+    t = tools(spark, d, "domain").select("tool_id", clean_domain().alias("domain"))
+    first = t.groupBy("domain").agg(F.min("tool_id").alias("first"))
+    second = t.join(first, "domain").where("tool_id <> first").groupBy("domain").agg(F.min("tool_id").alias("second"))
+    overall = t.agg(F.min("tool_id").alias("any"))
+    j = t.join(first, "domain").join(second, "domain", "left").join(overall)
+    return j.select("tool_id", F.coalesce(F.when(F.col("tool_id") != F.col("first"), F.col("first")).otherwise(F.col("second")), F.when(F.col("any") != F.col("tool_id"), F.col("any"))).alias("adjacent"))
+
+
+def e25_source_summary(spark, d):
+    """Tools, servers and the kinds of side effect of each source type."""
+    return featured(spark, d).groupBy("source_type").agg(F.count(F.lit(1)).alias("tools"), F.countDistinct("server_name").alias("servers"), F.array_join(F.sort_array(F.collect_set("side_effect_type")), ",").alias("effects"))
+
+
+def e18_warnings(spark, d):
+    """How often each usage warning is given, the number of arguments in its text left out."""
+    t = tools(spark, d, "usage_warnings").select("tool_id", F.explode("usage_warnings").alias("w")).where("w IS NOT NULL")
+    return t.groupBy(F.regexp_replace("w", "[0-9]+", "#").alias("warning")).agg(F.count(F.lit(1)).alias("times"), F.countDistinct("tool_id").alias("tools"))
+
+
 QUERIES = {k: f for k, f in globals().items() if callable(f) and (k[0] in "bcdefhmn" and k[1:2].isdigit() or k.startswith("h_"))}
 
 M = lambda x: f"round(coalesce(avg(CAST({x} AS DOUBLE)), 0) + 1e-9::DOUBLE, 4)"
@@ -261,4 +282,7 @@ SQL = {
     "n22_memory": f"""{W}, mm AS (SELECT tool_id, 'purpose' AS kind, tool_purpose AS txt FROM tl UNION ALL SELECT tool_id, 'doc', unnest(doc_snippets) FROM tl UNION ALL SELECT tool_id, 'warning', unnest(usage_warnings) FROM tl
       UNION ALL SELECT tool_id, 'argument', a.description FROM (SELECT tool_id, unnest(arguments) AS a FROM tl))
       SELECT kind, count(*) AS rows, count(DISTINCT tool_id) AS tools, CAST(sum(len(list_filter(regexp_split_to_array(txt, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS words FROM mm WHERE trim(txt) <> '' GROUP BY 1""",
+    "d13_adjacent": f"{FEAT} SELECT a.tool_id, coalesce((SELECT min(b.tool_id) FROM ft b WHERE b.clean_domain = a.clean_domain AND b.tool_id <> a.tool_id), (SELECT CASE WHEN min(b.tool_id) <> a.tool_id THEN min(b.tool_id) END FROM ft b)) AS adjacent FROM ft a",
+    "e25_source_summary": f"{FEAT} SELECT source_type, count(*) AS tools, count(DISTINCT server_name) AS servers, array_to_string(list_sort(list(DISTINCT side_effect_type)), ',') AS effects FROM ft GROUP BY 1",
+    "e18_warnings": f"{W} SELECT regexp_replace(w, '[0-9]+', '#', 'g') AS warning, count(*) AS times, count(DISTINCT tool_id) AS tools FROM (SELECT tool_id, unnest(usage_warnings) AS w FROM tl) WHERE w IS NOT NULL GROUP BY 1",
 }
