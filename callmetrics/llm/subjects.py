@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmetrics.llm.storage import checkpointed
+
 #: Ends of sentences: white space after a full stop, question or exclamation mark, or a blank line.
 SENTENCE = r"(?<=[.!?])\s+|\n\s*\n"
 FEATURE = r"\p{L}+"
@@ -52,17 +54,44 @@ def vocabulary(docs: DataFrame, min_share: float, min_docs: int) -> dict[str, in
     return {w: i for i, w in enumerate(sorted(r["w"] for r in counts.where(F.col("n") >= least).select("w").toArrow().to_pylist()))}
 
 
-def sentences(texts: list[str], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature words (distinct within a sentence), their sentence, and the document of each sentence."""
-    end, word = regex.compile(SENTENCE), regex.compile(FEATURE)
-    w, s, d = [], [], []
-    for k, t in enumerate(texts):
-        for x in end.split(t.lower()):
-            ids = {words[y] for y in word.findall(x) if y in words}
-            w.extend(ids)
-            s.extend([len(d)] * len(ids))
-            d.append(k)
-    return np.array(w, np.int64), np.array(s, np.int64), np.array(d, np.int64)
+BREAK = -1
+
+
+def encoded(docs: DataFrame, words: dict[str, int]) -> DataFrame:
+    """id, stratum and the feature words of each text (distinct within a sentence), a ``BREAK`` after each sentence.
+
+    Texts are cut once and the numbers kept in the shared checkpoint folder; the rounds read only these.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(words)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end, word = known.value, regex.compile(SENTENCE), regex.compile(FEATURE)
+        number = words.get
+        for b in batches:
+            lists = []
+            for t in b["text"].to_pylist():
+                codes = []
+                for x in end.split(t.lower()):
+                    ids = set(map(number, word.findall(x)))
+                    ids.discard(None)
+                    if ids:
+                        codes += ids
+                        codes.append(BREAK)
+                lists.append(codes)
+            yield pa.RecordBatch.from_arrays([b["id"], b["stratum"], pa.array(lists, pa.list_(pa.int32()))], ["id", "stratum", "codes"])
+
+    kind = dict(docs.dtypes)["id"]
+    return checkpointed(docs.select("id", "stratum", "text").mapInArrow(cut, f"id {kind}, stratum int, codes array<int>"))
+
+
+def sentences(codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature words, their sentence, and the document of each sentence."""
+    offsets = codes.offsets.to_numpy().astype(np.int64)
+    w = codes.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    d = np.repeat(np.arange(len(codes)), np.diff(offsets))
+    ends = w == BREAK
+    s = np.cumsum(ends) - ends
+    return w[~ends].astype(np.int64), s[~ends], d[ends]
 
 
 def posteriors(w: np.ndarray, s: np.ndarray, d: np.ndarray, docs: int, weights: np.ndarray, none: float = 0.0) -> np.ndarray:
@@ -73,12 +102,14 @@ def posteriors(w: np.ndarray, s: np.ndarray, d: np.ndarray, docs: int, weights:
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         score[s[starts]] = np.add.reduceat(weights[w], starts, axis=0)
     prior = np.full((docs, k), 1.0 / k)
+    first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if n else np.empty(0, np.int64)
     for _ in range(3):
         logit = np.c_[score + np.log(prior[d]), np.full(n, none)]
         post = np.exp(logit - logit.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         prior = np.full((docs, k), FLAT)
-        np.add.at(prior, d, post[:, :-1])
+        if n:
+            prior[d[first]] += np.add.reduceat(post[:, :-1], first, axis=0)
         prior /= prior.sum(axis=1, keepdims=True)
     return post
 
@@ -117,14 +148,14 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, words: dict[str, int], n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((strata * len(known.value), n + 1))
         for b in batches:
-            w, s, d = sentences(b["text"].to_pylist(), known.value)
+            w, s, d = sentences(b["codes"])
             w = w + b["stratum"].to_numpy().astype(np.int64)[d[s]] * len(known.value)
             own = np.array(b["v"].to_pylist(), float).reshape(-1, n)
             once = np.unique(np.c_[w, d[s]].reshape(-1, 2), axis=0)  # words of one text err together, so a text counts once
             np.add.at(total[:, :-1], once[:, 0], own[once[:, 1]])
         yield emit(total)
 
-    return summed(docs.join(labels, "id").select("text", "stratum", "v").mapInArrow(count, "k long, c int, v double"), strata, len(words), n + 1)
+    return summed(docs.join(labels, "id").select("codes", "stratum", "v").mapInArrow(count, "k long, c int, v double"), strata, len(words), n + 1)
 
 
 def expected_counts(docs: DataFrame, model: Model, none: float, strata: int) -> np.ndarray:
@@ -137,12 +168,14 @@ def expected_counts(docs: DataFrame, model: Model, none: float, strata: int) ->
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 x = b.slice(lo, 1000)
-                w, s, d = sentences(x["text"].to_pylist(), m.words)
+                w, s, d = sentences(x["codes"])
                 at = w + x["stratum"].to_numpy().astype(np.int64)[d[s]] * len(m.words)
-                np.add.at(total, at, posteriors(w, s, d, x.num_rows, m.weights, none)[s])
+                post = posteriors(w, s, d, x.num_rows, m.weights, none)
+                for c in range(total.shape[1]):
+                    total[:, c] += np.bincount(at, post[s, c], len(total))
         yield emit(total)
 
-    return summed(docs.select("text", "stratum").mapInArrow(count, "k long, c int, v double"), strata, len(model.words), len(model.subjects) + 1)
+    return summed(docs.select("codes", "stratum").mapInArrow(count, "k long, c int, v double"), strata, len(model.words), len(model.subjects) + 1)
 
 
 def label_votes(labels: DataFrame, subjects: list[str], doc_id: str) -> DataFrame:
@@ -165,14 +198,15 @@ def shares(docs: DataFrame, model: Model, keep: str = "") -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 x = b.slice(lo, 1000)
-                w, s, d = sentences(x["text"].to_pylist(), m.words)
+                w, s, d = sentences(x["codes"])
                 post = posteriors(w, s, d, x.num_rows, m.weights)
                 sure = (post[:, :-1] >= 0.5).astype(float)
                 per = np.zeros((x.num_rows, len(m.subjects)))
-                np.add.at(per, d, sure)
+                for c in range(per.shape[1]):
+                    per[:, c] = np.bincount(d, sure[:, c], x.num_rows)
                 yield pa.RecordBatch.from_arrays([*[x[c] for c in names], pa.array(per.sum(axis=1)), pa.array(list(per))], [*names, "total", "per"])
 
-    return docs.select(*names, "text").mapInArrow(count, ", ".join(f"{c} {kind[c]}" for c in names) + ", total double, per array<double>")
+    return docs.select(*names, "codes").mapInArrow(count, ", ".join(f"{c} {kind[c]}" for c in names) + ", total double, per array<double>")
 
 
 def calibrated(docs: DataFrame, votes: DataFrame, model: Model, sample: int) -> np.ndarray:
@@ -195,17 +229,18 @@ def calibrated(docs: DataFrame, votes: DataFrame, model: Model, sample: int) ->
     return np.array(out)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", rounds: tuple[float, ...] = NONE, calibrate: bool = True, sample: int = SAMPLE) -> Model:
-    """The model of all documents (id, text, lang) and labels.
+def fitted(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", rounds: tuple[float, ...] = NONE, calibrate: bool = True, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
+    """The model of all documents (id, text, lang) and labels, and the documents as numbers.
 
     Languages of a hundredth of the documents or more are strata (so at most a hundred), the others and unknown ones one more.
     """
     lang = F.coalesce(F.trim(F.lower(F.col("lang").cast("string"))), F.lit(""))
     counted = docs.groupBy(lang.alias("l")).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
     langs = sorted(r["l"] for r in counted.where("n >= 0.01 * all AND l <> ''").collect())
-    docs = docs.withColumn("stratum", F.array_position(F.array(*map(F.lit, langs)), lang).cast("int") if langs else F.lit(0))
+    docs = docs.withColumn("stratum", F.coalesce(F.array_position(F.array(*map(F.lit, langs)), lang).cast("int"), F.lit(0)) if langs else F.lit(0))
     strata = len(langs) + 1
     words = vocabulary(docs, MIN_SHARE, MIN_DOCS)
+    docs = encoded(docs, words)
     votes = label_votes(labels, subjects, doc_id)
     first = labelled_counts(docs, votes, words, len(subjects), strata)
     model = Model(subjects, words, log_odds(first, DEAD_FIRST))
@@ -213,7 +248,7 @@ def fitted(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str
         model.weights = log_odds(expected_counts(docs, model, none, strata))
     if calibrate:
         model.curves = calibrated(docs, votes, model, sample)
-    return model
+    return model, docs
 
 
 def classified(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str = "doc_id", part: float = PART, calibrate: bool = True) -> DataFrame:
@@ -227,7 +262,7 @@ def classified(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id
     subjects = sorted({r["subject"] for r in areas.select("subject").where("subject IS NOT NULL").distinct().limit(1000).collect()})
     if not subjects:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['id']}, subject string, share double" + ", posterior double" * calibrate)
-    model = fitted(docs, labels, subjects, doc_id, calibrate=calibrate)
+    model, docs = fitted(docs, labels, subjects, doc_id, calibrate=calibrate)
     found = shares(docs, model).where("total > 0")
     rows = found.select(F.col("id").alias("doc_id"), "total", F.posexplode("per").alias("k", "n")).where(F.col("n") >= F.lit(part) * F.col("total") - 1e-9)
     share = F.col("n") / F.col("total")
