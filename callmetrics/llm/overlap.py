@@ -10,9 +10,9 @@ an order all texts share, at least one is common: every near pair collides in so
 also the necessary prefix of an exact prefix filter; the order is that of rising corpus frequency, so tables are keyed on
 the rarest words.
 
-In a table, pairs must pass the bound on lengths and the bound on parities: each row carries 112 parity bits of its whole
-vector; the parities of two texts differ in at most as many bits as the vectors do, so no near pair is lost. What is left
-is verified on the texts themselves.
+In a table, pairs must pass three bounds, none of which loses a near pair: on the lengths; on the positions (the first word
+in common leaves at most the words from there on); and on the parities (each row carries 112 parity bits of its whole
+vector, and those of two texts differ in at most as many bits as the vectors do). What is left is verified on the texts.
 """
 
 from __future__ import annotations
@@ -89,15 +89,16 @@ def classes(df: DataFrame, order, share: float, least: int) -> DataFrame:
 
 
 def candidates(left: DataFrame, right: DataFrame, share: float, same: bool) -> DataFrame:
-    """Distinct (a, b) of rids that collide in a table and pass the bounds on lengths and parities."""
-    a = left.select(F.explode("keys").alias("key"), F.col("rid").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
-    b = right.select(F.explode("keys").alias("key"), F.col("rid").alias("b"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
+    """Distinct (a, b) of rids that collide in a table and pass the bounds on lengths, positions and parities."""
+    a = left.select(F.posexplode("keys").alias("i", "key"), F.col("rid").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
+    b = right.select(F.posexplode("keys").alias("j", "key"), F.col("rid").alias("b"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
     length = lambda x: F.col(x).bitwiseAND(F.lit(0xFFFF))
     n, m = F.greatest(length("a2"), length("b2")), F.least(length("a2"), length("b2"))
     cut = F.lit(65535)
     least = F.ceil(F.round(F.lit(share) * n, 9))
     differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.shiftrightunsigned(F.col("a2").bitwiseXOR(F.col("b2")), 16))
-    passes = (n >= cut) | ((m >= least) & (differ <= n + m - 2 * least))
+    reachable = F.least(length("a2") - F.col("i"), length("b2") - F.col("j")) >= least
+    passes = (n >= cut) | ((m >= least) & reachable & (differ <= n + m - 2 * least))
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) if same else F.lit(True)).where(passes)
     return pairs.select("a", "b").distinct()
 
