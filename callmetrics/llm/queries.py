@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.llm import canonical_list, formatting, leakage, overlap, packing, subjects
+from callmetrics.llm import canonical_list, formatting, groups, leakage, overlap, packing, subjects
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.select(F.lit("request").alias("kind"), "*").union(tools.select(F.lit("tool").alias("kind"), "*"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and group of each record that is near another, of both kinds."""
+    requests = groups.near_groups(table(spark, sf_dir, "eval_tasks"), "task_id", "user_request")
+    snippets = table(spark, sf_dir, "tools").select("tool_id", F.array_join("doc_snippets", " ").alias("snippets"))
+    tools = groups.near_groups(snippets, "tool_id", "snippets")
+    return requests.select(F.lit("request").alias("kind"), "*").union(tools.select(F.lit("tool").alias("kind"), "*"))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
