@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import similarity, stats, text
 from callmetrics.operators import search
+from callmetrics.operators import tool_features as tf
+from callmetrics.plans.tools import FEAT
 from callmetrics.plans.views import ABSTAIN, TOOLS, read, tools
 
 
@@ -54,6 +56,37 @@ def e24_distractors(spark, d):
     return j.groupBy("distractor_level").agg(F.count(F.lit(1)).alias("candidates"), stats.mean(F.round(similarity.jaccard(F.col("w"), F.col("aw")), 4)).alias("avg_name_similarity"))
 
 
+#: Pairs of verbs that oppose one another.
+OPPOSITE = (("read", "write"), ("search", "fetch"), ("create", "update"), ("create", "delete"), ("list", "create"), ("get", "set"))
+
+
+def opposed(a, b, ea, eb):
+    """Whether two tools' words hold opposite verbs, or one reads and the other changes things."""
+    out = ((ea == "read") & eb.isin(*tf.MUTATING)) | ((eb == "read") & ea.isin(*tf.MUTATING))
+    for x, y in OPPOSITE:
+        out = out | (F.array_contains(a, x) & F.array_contains(b, y)) | (F.array_contains(a, y) & F.array_contains(b, x))
+    return out
+
+
+def m3_hard_scores(spark, d):
+    """Relation and score of candidates with their anchor, by level: names, texts, arguments, domain, effect, opposite verbs."""
+    t = tf.features(tools(spark, d, "tool_name", "tool_purpose", "server_name", "domain", "source_type", "arguments", "doc_snippets"))
+    tokens = lambda *c: F.array_distinct(text.distractor_tokens(F.concat_ws(" ", *c)))
+    f = t.select("tool_id", F.struct(
+        tokens("tool_name").alias("name"), tokens("tool_name", "tool_purpose").alias("text"), F.coalesce(F.array_distinct("arguments.name"), F.array().cast("array<string>")).alias("args"),
+        F.coalesce(F.lower("domain"), F.lit("")).alias("domain"), F.col("side_effect_type").alias("effect"),
+    ).alias("f"))
+    c = examples(spark, d).join(d7_anchors(spark, d), "id").select("distractor_level", "anchor", "correct_tool_id", "target_tool_id", F.explode("candidate_tool_ids").alias("tool_id"))
+    c = c.where("tool_id <> correct_tool_id AND tool_id <> target_tool_id").join(f.withColumnRenamed("f", "b"), "tool_id").join(f.select(F.col("tool_id").alias("anchor"), F.col("f").alias("a")), "anchor")
+    sim = lambda k: similarity.jaccard(F.col(f"a.{k}"), F.col(f"b.{k}"))
+    same = lambda k: F.col(f"a.{k}") == F.col(f"b.{k}")
+    c = c.select("distractor_level", sim("name").alias("n"), sim("text").alias("t"), sim("args").alias("g"), same("domain").alias("d"), same("effect").alias("e"), opposed(F.col("a.text"), F.col("b.text"), F.col("a.effect"), F.col("b.effect")).alias("o"))
+    score = 3 * F.col("n") + 2 * F.col("t") + 2 * F.col("g") + F.col("d").cast("double") + 0.5 * F.col("e").cast("double") + 1.5 * F.col("o").cast("double")
+    near = (F.col("n") >= 0.35) | (F.col("g") >= 0.35) | (F.col("d") & (F.col("t") >= 0.25))
+    relation = F.when(F.col("o"), "opposite_action").when(near, "near_miss").when(F.col("d"), "same_domain").otherwise("different_domain")
+    return c.groupBy("distractor_level", relation.alias("relation")).agg(F.count(F.lit(1)).alias("candidates"), stats.mean(score).alias("avg_hard_score"))
+
+
 def f10_distractors(spark, d):
     """Three tools of the same domain for each tool with an id divisible by 20, in an order made by hashes.
 
@@ -91,7 +124,7 @@ def n29_progress(spark, d):
     return done.groupBy("model_slug").agg(F.count("planned").alias("completed"), F.count_if(F.col("planned").isNull()).alias("ignored"))
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "defkn" and k[1:2].isdigit()}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "defkmn" and k[1:2].isdigit()}
 
 M = lambda x: f"round(coalesce(avg(CAST({x} AS DOUBLE)), 0) + 1e-9::DOUBLE, 4)"
 W = f"WITH {TOOLS}"
@@ -99,7 +132,15 @@ DIST = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({
 ANCHORS = f"{W}, an AS (SELECT id, coalesce(c.tool_id, t.tool_id) AS anchor FROM routing_examples r LEFT JOIN tl c ON c.tool_id = r.correct_tool_id LEFT JOIN tl t ON t.tool_id = r.target_tool_id WHERE coalesce(c.tool_id, t.tool_id) IS NOT NULL)"
 TERMS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9_./*?-]+')"
 PAIRED = "list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))"
+LJ = lambda k: f"CASE WHEN len(list_distinct(list_concat(a.{k}, b.{k}))) = 0 THEN 0 ELSE len(list_intersect(a.{k}, b.{k}))::DOUBLE / len(list_distinct(list_concat(a.{k}, b.{k}))) END"
+OPPOSED = "((a.effect = 'read' AND b.effect IN ('write', 'delete', 'execute', 'external_communication')) OR (b.effect = 'read' AND a.effect IN ('write', 'delete', 'execute', 'external_communication')) OR " + " OR ".join(f"(list_contains(a.text, '{x}') AND list_contains(b.text, '{y}')) OR (list_contains(a.text, '{y}') AND list_contains(b.text, '{x}'))" for x, y in OPPOSITE) + ")"
 SQL = {
+    "m3_hard_scores": f"""{FEAT}, an AS (SELECT id, coalesce(c.tool_id, t.tool_id) AS anchor FROM routing_examples r LEFT JOIN tl c ON c.tool_id = r.correct_tool_id LEFT JOIN tl t ON t.tool_id = r.target_tool_id WHERE coalesce(c.tool_id, t.tool_id) IS NOT NULL),
+      fx AS (SELECT tool_id, {DIST('tool_name')} AS name, {DIST("concat_ws(' ', tool_name, tool_purpose)")} AS text, coalesce(list_distinct(list_transform(arguments, lambda a: a.name)), []) AS args, coalesce(lower(domain), '') AS domain, side_effect_type AS effect FROM ft),
+      c AS (SELECT id, distractor_level, correct_tool_id, target_tool_id, unnest(candidate_tool_ids) AS tool_id FROM routing_examples),
+      p AS (SELECT distractor_level, {LJ('name')} AS n, {LJ('text')} AS t, {LJ('args')} AS g, a.domain = b.domain AS d, a.effect = b.effect AS e, {OPPOSED} AS o FROM c JOIN an USING (id) JOIN fx a ON a.tool_id = anchor JOIN fx b ON b.tool_id = c.tool_id WHERE c.tool_id <> correct_tool_id AND c.tool_id <> target_tool_id)
+      SELECT distractor_level, CASE WHEN o THEN 'opposite_action' WHEN n >= 0.35 OR g >= 0.35 OR (d AND t >= 0.25) THEN 'near_miss' WHEN d THEN 'same_domain' ELSE 'different_domain' END AS relation, count(*) AS candidates,
+      {M('3 * n + 2 * t + 2 * g + d::INT + 0.5::DOUBLE * e::INT + 1.5::DOUBLE * o::INT')} AS avg_hard_score FROM p GROUP BY 1, 2""",
     "d7_anchors": f"{ANCHORS} SELECT id, anchor FROM an",
     "d12_tool_mentions": f"{W} SELECT tl.tool_id, count(*) AS examples FROM tl JOIN routing_examples r ON tl.tool_id = r.correct_tool_id OR tl.tool_id = r.target_tool_id GROUP BY 1",
     "f12_gold_rank": "SELECT id, nullif(list_position(candidate_tool_ids, correct_tool_id), 0) AS gold_rank, coalesce(nullif(list_position(candidate_tool_ids, correct_tool_id), 0) <= 3, false) AS hit_at_3 FROM routing_examples",

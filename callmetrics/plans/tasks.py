@@ -138,6 +138,18 @@ def c1_canonical_arguments(spark, d):
     return tasks(spark, d, "expected_arguments").where("expected_arguments IS NOT NULL").groupBy(F.md5(c).alias("arguments")).agg(F.count(F.lit(1)).alias("tasks"))
 
 
+def i17_contrast_terms(spark, d):
+    """Of each domain, the eight words that mark requests to call a tool (or not to) most: at least as many (more) requests of
+    the one kind than of the other have them; ties by word. A request counts a word once; counts are combined before the shuffle."""
+    t = tools(spark, d, "domain").select("tool_id", F.coalesce(F.nullif(text.normalized_request(F.col("domain")), F.lit("")), F.lit("general")).alias("domain"))
+    r = requests(spark, d).join(t, "tool_id").select("domain", "should_trigger", F.explode(F.array_distinct(text.distractor_tokens(F.col("user_request")))).alias("term"))
+    n = r.groupBy("domain", "term").agg(F.count_if("should_trigger").alias("p"), F.count_if(~F.col("should_trigger")).alias("n"))
+    kind = F.when(F.col("n") > F.col("p"), "negative").when(F.col("p") >= F.greatest(F.lit(1), F.col("n")), "positive")
+    n = n.withColumns({"kind": kind, "count": F.greatest("p", "n")})
+    w = Window.partitionBy("domain", "kind").orderBy(F.desc("count"), "term")
+    return n.withColumn("rank", F.row_number().over(w)).where("rank <= 8").select("domain", "kind", "rank", "term", "count")
+
+
 def n11_slot_values(spark, d):
     """Of each argument name in gold arguments: how often it is given, its distinct values, and the least one."""
     e = tasks(spark, d, "expected_arguments").select(F.explode(F.from_json("expected_arguments", "map<string,string>")).alias("argument", "value"))
@@ -186,7 +198,7 @@ def late_by_day(spark, d):
     return read(spark, d, "eval_tasks").groupBy(F.floor((F.unix_micros("ingested_at") - F.unix_micros("created_at")) / 86_400_000_000).alias("days")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and (k[0] in "cdefgjn" and k[1:2].isdigit())} | {"a24_late_rows": late_by_day}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and (k[0] in "cdefgijn" and k[1:2].isdigit())} | {"a24_late_rows": late_by_day}
 
 RQ = f"""WITH {TASKS}, {TOOLS}, r AS (SELECT task_id, tool_id, tool_name, user_request, source, negative_category, lower(difficulty) AS difficulty, trim(lower(split)) AS split, coalesce(should_trigger, true) AS should_trigger,
   trim(regexp_replace(lower(coalesce(user_request, '')), '\\s+', ' ', 'g')) AS request FROM ev)"""
@@ -220,4 +232,8 @@ SQL = {
     "a24_late_rows": "SELECT CAST(floor((epoch_us(ingested_at) - epoch_us(created_at)) / 86400000000) AS BIGINT) AS days, count(*) AS rows FROM eval_tasks GROUP BY 1",
     "c1_canonical_arguments": f"""WITH {TASKS}, c AS (SELECT '{{' || array_to_string(list_transform(list_sort(json_keys(expected_arguments)), lambda k: '"' || k || '":' || json_extract(expected_arguments, '$."' || k || '"')::VARCHAR), ',') || '}}' AS c FROM ev WHERE expected_arguments IS NOT NULL)
       SELECT md5(c) AS arguments, count(*) AS tasks FROM c GROUP BY 1""",
+    "i17_contrast_terms": f"""{RQ}, t AS (SELECT tool_id, coalesce(nullif(trim(regexp_replace(lower(coalesce(domain, '')), '\\s+', ' ', 'g')), ''), 'general') AS domain FROM tl),
+      x AS (SELECT domain, should_trigger, unnest(list_distinct(list_filter(regexp_extract_all(lower(coalesce(user_request, '')), '[a-z0-9]+'), lambda x: length(x) > 1))) AS term FROM r JOIN t ON t.tool_id = r.tool_id),
+      c AS (SELECT domain, term, count_if(should_trigger) AS p, count_if(NOT should_trigger) AS n FROM x GROUP BY 1, 2), k AS (SELECT domain, term, CASE WHEN n > p THEN 'negative' ELSE 'positive' END AS kind, greatest(p, n) AS count FROM c)
+      SELECT domain, kind, CAST(rank AS INT) AS rank, term, count FROM (SELECT *, row_number() OVER (PARTITION BY domain, kind ORDER BY count DESC, term) AS rank FROM k) WHERE rank <= 8""",
 }
