@@ -6,7 +6,7 @@ suffix such as a version). A reading means an entry if, in this order,
 2. its words, some cut short with a full stop, are beginnings of the entry's words;
 3. it is within a few edits of the name or an alias, by a partition-based pigeonhole join: each reference form is cut
    into k + 1 segments, of which k edits leave at least one whole, moved by k places at most; substrings of the value at
-   those places are joined with the segments by equality and the pairs verified with the built-in ``levenshtein``.
+   those places are joined with the segments by equality and the pairs verified with the built-in ``levenshtein``; a reading without a word may have one edit for eight letters.
 Values that match nothing come out of an anti-join.
 """
 
@@ -54,7 +54,7 @@ WITH entry AS (SELECT id, explode(concat(array(name), coalesce(aliases, array())
                 FROM (SELECT *, explode(sequence(-k, k)) AS move FROM places) WHERE at + move >= 0 AND at + move + wide <= m),
      pairs AS (SELECT DISTINCT v, dropped, joined, id, form, s.k AS k FROM pieces p JOIN segment s ON p.n = s.n AND p.i = s.i AND p.piece = s.piece),
      near AS (SELECT v, dropped, id, length(form) AS n, levenshtein(joined, form, k) AS d FROM pairs),
-     fuzzy AS (SELECT v, min(struct(d + dropped, -n, id)).id AS id FROM near WHERE d >= 0 AND d + dropped <= {MAX_EDITS} GROUP BY v)
+     fuzzy AS (SELECT v, min(struct(d + dropped, -n, id)).id AS id FROM near WHERE d >= 0 AND d + dropped <= {MAX_EDITS} AND (dropped = 0 OR d <= n DIV 8) GROUP BY v)
 SELECT v, id FROM sure UNION ALL SELECT v, id FROM fuzzy
 """
 

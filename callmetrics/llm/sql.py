@@ -32,7 +32,7 @@ r AS (SELECT v, short, dropped, array_to_string(w, '') AS joined, {BARE.format(x
 hit AS (SELECT v, 1 AS step, dropped AS x, 0 AS y, id FROM r JOIN f ON r.joined = f.joined OR r.joined = array_to_string(list_sort(f.w), ' ') OR array_to_string(list_sort(r.w), ' ') = f.joined OR list_sort(r.w) = list_sort(f.w)
   UNION ALL SELECT v, 2, dropped, 0, id FROM r JOIN f ON short AND len(r.w) > 0 AND len(r.w) = len(f.w) AND len(list_filter(range(1, len(r.w) + 1), lambda i: NOT (starts_with(f.w[i], r.w[i]) AND r.w[i][1:3] = f.w[i][1:3]))) = 0),
 g AS (SELECT id, joined AS form FROM f UNION SELECT id, array_to_string(list_reverse(w), '') FROM f),
-near AS (SELECT v, 3 AS step, levenshtein(joined, form) + dropped AS x, -length(form) AS y, id FROM r JOIN g ON length(joined) BETWEEN 4 AND 256 AND levenshtein(joined, form) <= {K.format(n="length(form)")} AND levenshtein(joined, form) + dropped <= 4 WHERE {K.format(n="length(form)")} > 0),
+near AS (SELECT v, 3 AS step, levenshtein(joined, form) + dropped AS x, -length(form) AS y, id FROM r JOIN g ON length(joined) BETWEEN 4 AND 256 AND levenshtein(joined, form) <= {K.format(n="length(form)")} AND levenshtein(joined, form) + dropped <= 4 AND (dropped = 0 OR levenshtein(joined, form) <= length(form) // 8) WHERE {K.format(n="length(form)")} > 0),
 best AS (SELECT v, id FROM (SELECT v, id, row_number() OVER (PARTITION BY v ORDER BY step, x, y, id) AS k FROM (SELECT * FROM hit UNION ALL SELECT * FROM near)) WHERE k = 1)"""
 
 
