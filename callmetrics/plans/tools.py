@@ -167,9 +167,9 @@ def m2_cosine(spark, d):
     v = read(spark, d, "embeddings")
     flat = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = flat.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("s")).select(F.col("label").alias("near"), F.transform("s", lambda s: s["m"]).alias("mean"))
-    q = v.where("vec_id % 20 = 0")
-    scored = q.join(means).withColumn("c", F.round(similarity.cosine(F.col("embedding"), F.col("mean")), 6))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("c", (-F.col("near")).alias("n"))).alias("b"))
+    one = means.agg(F.collect_list(F.struct("near", "mean")).alias("means"))  # a single row, as a scalar subquery gives
+    score = lambda m: F.struct(F.round(similarity.cosine(F.col("embedding"), m["mean"]), 6).alias("c"), (-m["near"]).alias("n"))
+    best = v.where("vec_id % 20 = 0").join(one).select("vec_id", F.array_max(F.transform("means", score)).alias("b"))
     return best.select("vec_id", (-F.col("b.n")).alias("near"), F.col("b.c").alias("cosine"))
 
 
