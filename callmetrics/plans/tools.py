@@ -173,27 +173,44 @@ def m2_cosine(spark, d):
     return best.select("vec_id", (-F.col("b.n")).alias("near"), F.col("b.c").alias("cosine"))
 
 
-def name_classes(spark, d):
-    """Distinct sets of name tokens, each with its smallest tool and number of tools."""
-    t = tools(spark, d, "tool_name").withColumn("w", F.array_sort(F.array_distinct(text.distractor_tokens(text.tool_name(F.col("tool_name"))))))
-    return t.where(F.size("w") > 0).groupBy("w").agg(F.min("tool_id").alias("tool_id"), F.count(F.lit(1)).alias("tools"))
+def asked(c):
+    """Whether a tool is one of the stated set of queries: its id is divisible by 20."""
+    return F.regexp_extract(c, "([0-9]+)$", 1).cast("long") % 20 == 0
+
+
+def name_tokens(spark, d):
+    """The set of name tokens of each tool that has any."""
+    t = tools(spark, d, "tool_name").select("tool_id", F.array_sort(F.array_distinct(text.distractor_tokens(text.tool_name(F.col("tool_name"))))).alias("w"))
+    return t.where(F.size("w") > 0)
+
+
+def name_classes(t):
+    """Distinct sets of name tokens, each with its smallest tool, number of tools and whether any tool of it is a query."""
+    return t.groupBy("w").agg(F.min("tool_id").alias("tool_id"), F.count(F.lit(1)).alias("tools"), F.bool_or(asked("tool_id")).alias("asked"))
 
 
 def d8_similar_names(spark, d):
-    """Near misses by name: classes of names with Jaccard similarity of 0.7 or more, for query classes (id divisible by 20).
+    """Near misses by name: tools whose names have a Jaccard similarity of 0.7 or more with a query tool's (id divisible by 20).
 
-    A prefix-filtered token join: tokens by rising frequency, n - ceil(0.7 n) + 1 of them needed; equal names are one class.
+    A prefix-filtered token join of classes (equal names are one): tokens by rising frequency, n - ceil(0.7 n) + 1 of them
+    needed. A class is searched if any of its tools is a query; pairs of classes, and each class with itself, are then
+    expanded to the query tools and tools that they hold.
     """
-    c = name_classes(spark, d)
-    df = c.select("tool_id", "w", F.explode("w").alias("t"))
+    t = name_tokens(spark, d)
+    c = name_classes(t)
+    df = c.select("tool_id", "w", "asked", F.explode("w").alias("t"))
     freq = df.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    ordered = df.join(freq, "t").groupBy("tool_id", "w").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
+    ordered = df.join(freq, "t").groupBy("tool_id", "w", "asked").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
     keep = F.size("o") - F.ceil(F.round(0.7 * F.size("o"), 9)).cast("int") + 1
-    pre = ordered.select("tool_id", "w", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("tool_id", "w", F.col("p.t").alias("t"))
-    q = pre.where(F.regexp_extract("tool_id", "([0-9]+)$", 1).cast("long") % 20 == 0).select(F.col("tool_id").alias("query_id"), F.col("w").alias("qw"), "t")
-    pairs = q.join(pre, "t").where("query_id <> tool_id").where(F.least(F.size("w"), F.size("qw")) >= 0.7 * F.greatest(F.size("w"), F.size("qw")))
+    pre = ordered.select("tool_id", "w", "asked", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("tool_id", "w", "asked", F.col("p.t").alias("t"))
+    q = pre.where("asked").select(F.col("tool_id").alias("query_class"), F.col("w").alias("qw"), "t")
+    pairs = q.join(pre.drop("asked"), "t").where("query_class <> tool_id").where(F.least(F.size("w"), F.size("qw")) >= 0.7 * F.greatest(F.size("w"), F.size("qw")))
     scored = pairs.withColumn("similarity", F.round(similarity.jaccard(F.col("w"), F.col("qw")), 4)).where("similarity >= 0.7")
-    return scored.select("query_id", "tool_id", "similarity").distinct()
+    own = c.where("asked AND tools > 1").select(F.col("tool_id").alias("query_class"), F.col("tool_id").alias("class"), F.lit(1.0).alias("similarity"))
+    links = scored.select("query_class", F.col("tool_id").alias("class"), "similarity").distinct().union(own)
+    members = t.join(c.select("w", F.col("tool_id").alias("class")), "w").select("tool_id", "class")
+    queries = members.where(asked("tool_id")).select(F.col("tool_id").alias("query_id"), F.col("class").alias("query_class"))
+    return links.join(queries, "query_class").join(members, "class").where("query_id <> tool_id").select("query_id", "tool_id", "similarity")
 
 
 def n22_memory(spark, d):
