@@ -88,16 +88,24 @@ def m3_hard_scores(spark, d):
 
 
 def f10_distractors(spark, d):
-    """Three tools of the same domain for each tool with an id divisible by 20, in an order made by hashes.
+    """Three tools of the same domain for each tool, fewer only if the domain has fewer, in an order made by hashes.
 
-    Tools of a domain stand in 16 hashed rows; a tool's distractors are the next ones in its row. So no domain is gathered in
-    one task and no pairs of a domain are made.
+    Tools of a domain stand in 16 hashed rows; a tool's distractors are the next ones in its row, and at the row's end the
+    heads of the domain's other rows and then of its own, as if the rows were one ring. So no domain is gathered in one task
+    and no pairs of a domain are made: three heads a row, at most 48 a domain, are brought together.
     """
     t = tools(spark, d, "domain").withColumns({"domain": F.coalesce(F.nullif(text.normalized_request(F.col("domain")), F.lit("")), F.lit("general")), "k": F.md5(F.concat(F.lit("9|"), "tool_id"))})
-    w = Window.partitionBy("domain", F.substring("k", 1, 1)).orderBy("k")
+    t = t.withColumn("row", F.substring("k", 1, 1))
+    w = Window.partitionBy("domain", "row").orderBy("k")
     near = F.array_compact(F.array(*[F.lead("tool_id", i).over(w) for i in (1, 2, 3)]))
-    t = t.withColumn("near", near).where(F.regexp_extract("tool_id", "([0-9]+)$", 1).cast("long") % 20 == 0)
-    return t.select("tool_id", F.posexplode("near").alias("rank", "distractor"))
+    t = t.withColumns({"near": near, "i": F.row_number().over(w)})
+    heads = t.where("i <= 3").groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("row", "i", "tool_id"))).alias("h"))
+    rows = heads.select("domain", "h", F.explode(F.array_distinct("h.row")).alias("row"))
+    part = lambda test: F.filter("h", test)["tool_id"]
+    others = F.slice(F.concat(part(lambda x: x["row"] > F.col("row")), part(lambda x: x["row"] < F.col("row"))), 1, 3)
+    rows = rows.select("domain", "row", F.concat(others, part(lambda x: x["row"] == F.col("row"))).alias("next"))
+    ring = F.slice(F.array_distinct(F.array_remove(F.concat("near", "next"), F.col("tool_id"))), 1, 3)
+    return t.join(rows, ["domain", "row"]).select("tool_id", F.posexplode(ring).alias("rank", "distractor"))
 
 
 def f7_search(spark, d):

@@ -29,3 +29,16 @@ def test_d8_shared_name(spark, tmp_path):
     spark.createDataFrame([(k, v) for k, v in names.items()], "tool_id string, tool_name string").write.parquet(f"{tmp_path}/tools.parquet")
     got = {(r["query_id"][-2:], r["tool_id"][-2:]) for r in QUERIES["d8_similar_names"](spark, str(tmp_path)).collect()}
     assert {("40", "01")} <= got
+
+
+def test_f10_every_tool_has_three_distractors_of_its_domain(spark, sf, duck):
+    """The next three tools of the domain in a ring by hash, or all others where there are fewer."""
+    rows = duck(sf, "tools").execute(f"{plans.FEAT} SELECT tool_id, clean_domain, md5('9|' || tool_id) FROM ft").fetchall()
+    rings, want = {}, set()
+    for i, domain, k in rows:
+        rings.setdefault(domain, []).append((k, i))
+    for ring in rings.values():
+        ids = [i for _, i in sorted(ring)]
+        want |= {(x, r, ids[(at + r + 1) % len(ids)]) for at, x in enumerate(ids) for r in range(min(3, len(ids) - 1))}
+    got = [tuple(r) for r in QUERIES["f10_distractors"](spark, sf).select("tool_id", "rank", "distractor").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
