@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +15,8 @@ from callmetrics.plans.views import PREDICTIONS, TASKS, TOOLS, predictions, task
 
 ORDER = ["created_at", "ingested_at", "record_id"]
 ANCHOR = "skill_v1"
-#: Iterations of resampling.
-ITERATIONS = 200
+#: Iterations of resampling, as many as the reference's default.
+ITERATIONS = 500
 
 
 def b25_normalized(spark, d):
@@ -86,20 +90,27 @@ def i5_randomization(spark, d):
     return sums.groupBy("left_name", "right_name", "pairs").agg(F.round((extreme + 1) / (F.lit(ITERATIONS) + 1), 6).alias("p_value"))
 
 
+def resampled(batches):
+    """(baseline_name, n, m): sorted rates of ``ITERATIONS`` binomial draws for each row (baseline_name, n, k)."""
+    for b in batches:
+        rows = b.to_pylist()
+        rates = []
+        for r in rows:
+            seed = hashlib.md5(f"boot|{r['baseline_name']}".encode()).digest()
+            drawn = np.random.Generator(np.random.Philox(int.from_bytes(seed, "big"))).binomial(r["n"], r["k"] / r["n"], ITERATIONS)
+            rates.append(np.sort(np.round(drawn / r["n"], 4)).tolist())
+        yield pa.RecordBatch.from_arrays([b["baseline_name"], b["n"], pa.array(rates, pa.list_(pa.float64()))], ["baseline_name", "n", "m"])
+
+
 def i2_bootstrap(spark, d):
-    """Percentile interval of the joint rate by condition: a Poisson-free bootstrap over the two outcome counts.
+    """Percentile interval of the joint rate by condition: a bootstrap over the two outcome counts.
 
-    Resampling n rows with two outcomes is a binomial draw, so it needs the counts alone: one uniform hash a draw block,
-    by the normal approximation of the binomial. Groups of any size cost the same.
+    Drawing n of n rows with two outcomes, with replacement, has k' hits as a binomial of n and k / n gives them, so each
+    iteration is one exact binomial draw (no normal approximation), seeded by a hash of the condition. Groups of any size
+    cost the same.
     """
     g = predictions(spark, d).groupBy("baseline_name").agg(F.count(F.lit(1)).alias("n"), agg.hits("joint_exact_match").alias("k"))
-    u = [(stats.draw(F.lit("boot"), F.col("baseline_name"), F.col("i").cast("string"), F.lit(str(j))) + 0.5) / 4294967296.0 for j in (1, 2)]
-    runs = g.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(ITERATIONS))))
-    gauss = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * 3.141592653589793 * u[1])
-    p = F.col("k") / F.col("n")
-    draws = runs.withColumn("m", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p + gauss * F.sqrt(p * (1 - p) / F.col("n")))), 4))
-    m = F.sort_array(F.collect_list("m"))
-    out = draws.groupBy("baseline_name", "n").agg(m.alias("m"))
+    out = g.mapInArrow(resampled, "baseline_name string, n long, m array<double>")
     at = lambda q: F.element_at("m", int(q * (ITERATIONS - 1)) + 1)
     return out.select("baseline_name", "n", at(0.025).alias("low"), at(0.975).alias("high"))
 

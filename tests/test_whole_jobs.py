@@ -1,5 +1,7 @@
 """Queries that must do their whole job, against counts or SQL of their own."""
 
+import datetime
+
 import pytest
 
 import __spark_entry__ as entry
@@ -42,3 +44,28 @@ def test_f10_every_tool_has_three_distractors_of_its_domain(spark, sf, duck):
         want |= {(x, r, ids[(at + r + 1) % len(ids)]) for at, x in enumerate(ids) for r in range(min(3, len(ids) - 1))}
     got = [tuple(r) for r in QUERIES["f10_distractors"](spark, sf).select("tool_id", "rank", "distractor").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def outcomes(spark, path, rows):
+    """Prediction records (condition, task, whether right) of one model."""
+    cols = "record_id long, task_id string, tool_name string, baseline_name string, model_slug string, should_trigger boolean, triggered boolean, selected_tool_name string, exact_match boolean, argument_validity double, required_argument_recall double, hallucinated_args array<string>, joint_exact_match boolean, latency_ms double, prompt_tokens int, created_at timestamp, ingested_at timestamp"
+    at = datetime.datetime(2026, 1, 1)
+    full = [(i, t, "a", b, "m", True, True, "a", ok, 1.0, 1.0, [], ok, 1.0, 1, at, at) for i, (b, t, ok) in enumerate(rows)]
+    spark.createDataFrame(full, cols).write.parquet(f"{path}/predictions.parquet")
+    return str(path)
+
+
+def test_i5_smallest_p_of_500_iterations(spark, tmp_path):
+    """SURVEY's floor of 1 / 501."""
+    d = outcomes(spark, tmp_path, [(b, f"t{i}", b == "skill_v1") for i in range(200) for b in ("skill_v1", "other")])
+    assert [r["p_value"] for r in QUERIES["i5_randomization"](spark, d).collect()] == [0.001996]
+
+
+def test_i2_intervals_are_rates_of_resamples(spark, tmp_path):
+    """Of a small condition every bound is a number of hits over n, and near 0 and 1 as skew as the binomial's."""
+    hits = {"few": (2, 7), "rare": (1, 100), "sure": (5, 5)}
+    d = outcomes(spark, tmp_path, [(b, f"t{i}", i < k) for b, (k, n) in hits.items() for i in range(n)])
+    got = {r["baseline_name"]: (r["low"], r["high"]) for r in QUERIES["i2_bootstrap"](spark, d).collect()}
+    assert all(x in [round(j / hits[b][1], 4) for j in range(hits[b][1] + 1)] for b, bounds in got.items() for x in bounds)
+    # quantiles of the binomial: (0, 5 of 7), (0, 3 of 100), at 500 draws a neighbour of the upper one at most
+    assert got["few"][0] == 0 and got["few"][1] in (0.5714, 0.7143) and got["rare"][0] == 0 and got["rare"][1] in (0.03, 0.04) and got["sure"] == (1, 1)
