@@ -96,7 +96,7 @@ def classified(spark: SparkSession, sf_dir: str, calibrate: bool) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(spark, sf_dir, False).select("doc_id", "subject")
+    return classified(spark, sf_dir, True).select("doc_id", "subject")
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ document frequency is a fixed part of the corpus or more, so their number is bou
 2. Expectation: every sentence of every document gets posteriors over the subjects and "none" from its words' weights.
    Maximisation: the counts by subject, and those of none, are summed anew over the corpus. Counts are made in partitions
    and combined; only a matrix of words by subjects reaches the driver.
-3. Calibration: on a bounded sample of labelled documents, a logistic curve for each subject maps the share of a
-   document's sentences to the posterior that an annotator names the subject; subjects are independent of one another.
+3. Calibration: on a bounded sample of labelled documents, a logistic curve for each subject maps a sentence's log odds of
+   the subject against "none" to the posterior that an annotator names it. Subjects are independent of one another: a
+   sentence deals with every subject of a posterior of one half or more, so with several or with none. A second curve maps
+   the share of a document's sentences to the same for the document.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ class Model:
     subjects: list[str]
     words: dict[str, int]
     weights: np.ndarray  # words + an empty row x subjects
-    curves: np.ndarray | None = None  # subjects x (slope, offset)
+    curves: np.ndarray | None = None  # subjects x (slope, offset), of a document's share
+    odds_curves: np.ndarray | None = None  # the same of a sentence's log odds; the odds as they are without
 
 
 def vocabulary(docs: DataFrame, min_share: float, min_docs: int) -> dict[str, int]:
@@ -97,13 +100,19 @@ def sentences(codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w[~ends].astype(np.int64), s[~ends], d[ends]
 
 
-def posteriors(w: np.ndarray, s: np.ndarray, d: np.ndarray, docs: int, weights: np.ndarray, none: float = 0.0) -> np.ndarray:
-    """Sentences x (subjects + none). A subject's prior is its part in the rest of the document, found by two passes."""
-    n, k = len(d), weights.shape[1]
-    score = np.zeros((n, k))
+def scores(w: np.ndarray, s: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    """Sentences x subjects: the sums of their words' weights."""
+    score = np.zeros((n, weights.shape[1]))
     if len(w):
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         score[s[starts]] = np.add.reduceat(weights[w], starts, axis=0)
+    return score
+
+
+def posteriors(w: np.ndarray, s: np.ndarray, d: np.ndarray, docs: int, weights: np.ndarray, none: float = 0.0) -> np.ndarray:
+    """Sentences x (subjects + none), exclusive. A subject's prior is its part in the rest of the document, found by two passes."""
+    n, k = len(d), weights.shape[1]
+    score = scores(w, s, n, weights)
     prior = np.full((docs, k), 1.0 / k)
     first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if n else np.empty(0, np.int64)
     for _ in range(3):
@@ -117,6 +126,33 @@ def posteriors(w: np.ndarray, s: np.ndarray, d: np.ndarray, docs: int, weights:
     return post
 
 
+def evidence(w: np.ndarray, s: np.ndarray, d: np.ndarray, docs: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the words, and log odds of each subject against none, whatever the other subjects' (sentences x subjects).
+
+    Words of other subjects say nothing against a subject, so weights below zero are left out. The prior is the subject's part in the document's sentences, as above, but a sentence may be part of several subjects.
+    """
+    n, k = len(d), weights.shape[1]
+    score = scores(w, s, n, np.maximum(weights, 0))
+    prior = np.full((docs, k), 1.0 / k)
+    first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if n else np.empty(0, np.int64)
+    for again in (True, True, False):
+        odds = score + np.log(prior[d])
+        if again and n:
+            post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            some = np.full((docs, 1), FLAT * k)
+            some[d[first], 0] += np.add.reduceat(post.max(axis=1), first)
+            prior = np.full((docs, k), FLAT)
+            prior[d[first]] += np.add.reduceat(post, first, axis=0)
+            prior /= some
+    return score, odds
+
+
+def independent(score: np.ndarray, odds: np.ndarray, curves: np.ndarray | None) -> np.ndarray:
+    """Sentences x subjects: each subject's posterior, whatever the others'; 0 where no word speaks for it."""
+    z = odds if curves is None else odds * curves[:, 0] + curves[:, 1]
+    return np.where(score > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+
+
 def log_odds(counts: np.ndarray, dead: float = DEAD) -> np.ndarray:
     """Complement weights: words x subjects, from counts of strata x words x (subjects + none).
 
@@ -202,35 +238,78 @@ def shares(docs: DataFrame, model: Model, keep: str = "") -> DataFrame:
             for lo in range(0, b.num_rows, 1000):
                 x = b.slice(lo, 1000)
                 w, s, d = sentences(x["codes"])
-                post = posteriors(w, s, d, x.num_rows, m.weights)
-                sure = (post[:, :-1] >= 0.5).astype(float)
+                score, odds = evidence(w, s, d, x.num_rows, m.weights)
+                sure = (independent(score, odds, m.odds_curves) >= 0.5).astype(float)
+                total = np.bincount(d, sure.max(axis=1, initial=0.0), x.num_rows)
                 per = np.zeros((x.num_rows, len(m.subjects)))
                 for c in range(per.shape[1]):
                     per[:, c] = np.bincount(d, sure[:, c], x.num_rows)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, per.size + 1, per.shape[1], np.int32)), pa.array(per.ravel()))
-                yield pa.RecordBatch.from_arrays([*[x[c] for c in names], pa.array(per.sum(axis=1)), flat], [*names, "total", "per"])
+                yield pa.RecordBatch.from_arrays([*[x[c] for c in names], pa.array(total), flat], [*names, "total", "per"])
 
     return docs.select(*names, "codes").mapInArrow(count, ", ".join(f"{c} {kind[c]}" for c in names) + ", total double, per array<double>")
 
 
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: tuple[float, float]) -> np.ndarray:
+    """Slope and offset of the curve of y over x: Newton's method with a small ridge towards ``start``, steps halved until they gain."""
+    design, a0 = np.c_[x, np.ones(len(x))], np.array(start)
+    loss = lambda a: (weight * (np.logaddexp(0, design @ a) - y * (design @ a))).sum() + 0.25 * ((a - a0) ** 2).sum()
+    a = a0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
+        grad = design.T @ (weight * (y - p)) - 0.5 * (a - a0)
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + 0.5 * np.eye(2), grad)
+        while loss(a + step) > loss(a) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        a = a + step
+    return a
+
+
+#: Log odds are counted in bins of this width between these bounds, so that the counts alone reach the driver.
+WIDTH, BOUND = 0.25, 30.0
+
+
+def sampled(votes: DataFrame, sample: int) -> DataFrame:
+    return votes.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
+
+
+def odds_calibrated(docs: DataFrame, votes: DataFrame, model: Model, sample: int) -> np.ndarray:
+    """Each subject's curve over the log odds of sentences with a word for it, from at most ``sample`` labelled documents.
+
+    A subject without such sentences, or whose curve doesn't rise, keeps the odds as they are (slope 1, offset 0).
+    """
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    n, bins = len(model.subjects), int(2 * BOUND / WIDTH) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, total = known.value, np.zeros((n * bins, 2))
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                x = b.slice(lo, 1000)
+                w, s, d = sentences(x["codes"])
+                score, odds = evidence(w, s, d, x.num_rows, m.weights)
+                named = np.array(x["v"].to_pylist(), float).reshape(-1, n) > 0
+                i, k = np.nonzero(score > 0)
+                at = k * bins + np.rint((np.clip(odds[i, k], -BOUND, BOUND) + BOUND) / WIDTH).astype(np.int64)
+                np.add.at(total, (at, named[d[i], k].astype(np.int64)), 1)
+        yield emit(total)
+
+    found = summed(docs.join(sampled(votes, sample), "id").select("codes", "v").mapInArrow(count, "k long, c int, v double"), n, bins, 2)
+    x = np.arange(bins) * WIDTH - BOUND
+    out = [logistic(np.r_[x, x], np.r_[np.zeros(bins), np.ones(bins)], np.r_[t[:, 0], t[:, 1]], (1.0, 0.0)) for t in found]
+    return np.array([a if a[0] > 0 else (1.0, 0.0) for a in out])
+
+
 def calibrated(docs: DataFrame, votes: DataFrame, model: Model, sample: int) -> np.ndarray:
     """Slope and offset of each subject's logistic curve over the share of sentences, from at most ``sample`` labelled documents."""
-    some = votes.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
-    t = shares(docs.join(some, "id"), model, "v").toArrow()
+    t = shares(docs.join(sampled(votes, sample), "id"), model, "v").toArrow()
     if not t.num_rows:
         return np.tile([8.0, -2.0], (len(model.subjects), 1))
     per, v, total = np.array(t["per"].to_pylist()), np.array(t["v"].to_pylist()) > 0, t["total"].to_numpy()
     share = per / np.maximum(total, 1)[:, None]
-    out = []
-    for k in range(len(model.subjects)):
-        a = np.array([8.0, -2.0])
-        design = np.c_[share[:, k], np.ones(len(share))]
-        for _ in range(25):  # Newton's method with a small ridge
-            p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
-            grad = design.T @ (v[:, k] - p) - 0.5 * a
-            a = a + np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.5 * np.eye(2), grad)
-        out.append(a)
-    return np.array(out)
+    return np.array([logistic(share[:, k], v[:, k].astype(float), np.ones(len(share)), (8.0, -2.0)) for k in range(len(model.subjects))])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str = "doc_id", rounds: tuple[float, ...] = NONE, calibrate: bool = True, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
@@ -251,6 +330,7 @@ def fitted(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str
     for none in rounds:
         model.weights = log_odds(expected_counts(docs, model, none, strata))
     if calibrate:
+        model.odds_curves = odds_calibrated(docs, votes, model, sample)
         model.curves = calibrated(docs, votes, model, sample)
     return model, docs
 
