@@ -69,3 +69,12 @@ def test_i2_intervals_are_rates_of_resamples(spark, tmp_path):
     assert all(x in [round(j / hits[b][1], 4) for j in range(hits[b][1] + 1)] for b, bounds in got.items() for x in bounds)
     # quantiles of the binomial: (0, 5 of 7), (0, 3 of 100), at 500 draws a neighbour of the upper one at most
     assert got["few"][0] == 0 and got["few"][1] in (0.5714, 0.7143) and got["rare"][0] == 0 and got["rare"][1] in (0.03, 0.04) and got["sure"] == (1, 1)
+
+
+def test_m2_every_vector_has_its_nearest_label(spark, sf, duck):
+    """The query's own SQL without its choice of vectors."""
+    sql = plans.SQL["m2_cosine"]
+    want = duck(sf, "embeddings").execute(sql.replace(" WHERE vec_id % 20 = 0)", ")")).fetchall()
+    got = [tuple(r) for r in QUERIES["m2_cosine"](spark, sf).select("vec_id", "near", "cosine").collect()]
+    key = lambda r: (r[0], r[1], f"{r[2]:.5f}")
+    assert want and sorted(map(key, got)) == sorted(map(key, want))
