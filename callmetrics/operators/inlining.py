@@ -165,16 +165,15 @@ def parsed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 todo, seen = [("$", None, None, None, 0, 0, root)], set()
                 while todo:
                     path, parent, member, name, ordinal, depth, node = todo.pop()
-                    if path in seen:  # names that hold dots may spell another node's path
-                        continue
-                    seen.add(path)
-                    for c, v in (("tool_id", tool), ("node_path", path), ("parent_path", parent), ("member", member), ("name", name), ("ordinal", ordinal), ("depth", depth)):
-                        add[c](v)
                     known = node if isinstance(node, dict) else {}
-                    for c in inlined:
-                        add[c](text_of(known.get(c)))
-                    for c in repeated:
-                        add[c](strings(known.get(c)))
+                    if (path, parent) not in seen:  # names that hold dots may spell another node's path; its children count all the same
+                        seen.add((path, parent))
+                        for c, v in (("tool_id", tool), ("node_path", path), ("parent_path", parent), ("member", member), ("name", name), ("ordinal", ordinal), ("depth", depth)):
+                            add[c](v)
+                        for c in inlined:
+                            add[c](text_of(known.get(c)))
+                        for c in repeated:
+                            add[c](strings(known.get(c)))
                     todo.extend((p, path, m, n, o, depth + 1, x) for p, m, n, o, x in children_of(path, known))
             yield pa.RecordBatch.from_pydict(out, schema=kept)
 
@@ -200,7 +199,7 @@ def nodes(df: DataFrame, id_col: str = "tool_id", order_col: str | None = "colle
 def shred(df: DataFrame, id_col: str = "tool_id", order_col: str | None = "collected_at") -> dict[str, DataFrame]:
     """The tables of the plan, each with its keys.
 
-    ``tool`` (tool_id, whether it has nodes), ``node`` (key tool_id + node_path, foreign key parent_path to itself), and of each
+    ``tool`` (tool_id, whether it has nodes), ``node`` (key tool_id + node_path + parent_path, foreign key parent_path to itself), and of each
     node its ``enum_value``, ``required_name`` and ``type_name`` rows (foreign key tool_id + node_path, ordinal). Records
     delivered again count once; null ids are left out; schemas that are null, blank, cut off or not objects are rebuilt
     from ``arguments``, null arguments give a root without children; further columns are ignored.
