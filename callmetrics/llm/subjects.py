@@ -1,7 +1,8 @@
 """Subject areas of documents: complement naive Bayes from labels, expectation-maximisation over all documents, calibration.
 
 The unit is the sentence, as a document may deal with several subjects and mostly with none. Features are the words whose
-document frequency is a fixed part of the corpus or more, so their number is bounded by the mean length over that part.
+document frequency is a fixed part of a language's documents or more, so their number is bounded by the mean length over
+that part, language by language.
 1. Labelled documents give word counts by subject; the weight of a word for a subject is the log of its share in the
    subject over its share in the complement (all else). What all texts talk about has a weight near zero everywhere.
 2. Expectation: every sentence of every document gets posteriors over the subjects and "none" from its words' weights.
@@ -53,11 +54,14 @@ class Model:
 
 
 def vocabulary(docs: DataFrame, min_share: float, min_docs: int) -> dict[str, int]:
-    """Words with a document frequency of ``min_share`` of all documents and at least ``min_docs``."""
+    """Words that, in some stratum, stand in ``min_share`` of its documents and in at least ``min_docs`` of them."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(FEATURE), F.lit(0)))
-    counts = docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    least = max(min_docs, min_share * docs.count())
-    return {w: i for i, w in enumerate(sorted(r["w"] for r in counts.where(F.col("n") >= least).select("w").toArrow().to_pylist()))}
+    sizes = {r["stratum"]: r["count"] for r in docs.groupBy("stratum").count().collect()}
+    if not sizes:
+        return {}
+    least = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(max(min_docs, min_share * n)))]), F.col("stratum"))
+    counts = docs.select("stratum", F.explode(found).alias("w")).groupBy("stratum", "w").agg(F.count(F.lit(1)).alias("n"))
+    return {w: i for i, w in enumerate(sorted(r["w"] for r in counts.where(F.col("n") >= least).select("w").distinct().toArrow().to_pylist()))}
 
 
 BREAK = -1

@@ -34,3 +34,9 @@ def test_curves_converge():
     x = np.r_[np.zeros(950), np.full(30, 0.9)]
     slope, offset = subjects.logistic(x, (x > 0).astype(float), np.ones(980), (8.0, -2.0))
     assert 0 < slope < 50 and -50 < offset < 0
+
+
+def test_words_of_a_small_language_are_features(spark):
+    """A word in a tenth of a language's documents, though in under 0.05 % of all."""
+    rows = spark.range(20_040).selectExpr("IF(id < 20000, 1, 2) AS stratum", "IF(id < 20000, 'common', IF(id < 20006, 'gemeinsam selten', 'gemeinsam')) AS text")
+    assert set(subjects.vocabulary(rows, subjects.MIN_SHARE, subjects.MIN_DOCS)) == {"common", "gemeinsam", "selten"}
