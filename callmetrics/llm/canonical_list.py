@@ -7,6 +7,7 @@ suffix such as a version). A reading means an entry if, in this order,
 3. it is within a few edits of the name or an alias, by a partition-based pigeonhole join: each reference form is cut
    into k + 1 segments, of which k edits leave at least one whole, moved by k places at most; substrings of the value at
    those places are joined with the segments by equality and the pairs verified with the built-in ``levenshtein``; a reading without a word may have one edit for eight letters.
+   Only lengths that some form has are tried, so values of any length are read whole and cost no more than the list is long.
 Values that match nothing come out of an anti-join.
 """
 
@@ -38,7 +39,7 @@ WITH entry AS (SELECT id, explode(concat(array(name), coalesce(aliases, array())
      short_values AS (SELECT v, dropped, size(w) AS words, array_join(w, ' ') AS text, concat('^', array_join(w, '[^ ]* '), '[^ ]*$') AS begins FROM readings WHERE short AND size(w) > 0),
      short AS (
        SELECT v, 2 AS step, dropped, id
-       FROM short_values r JOIN short_forms f ON r.words = f.words AND regexp_replace(r.text, '([^ ][^ ][^ ])[^ ]*', '$1') = regexp_replace(f.text, '([^ ][^ ][^ ])[^ ]*', '$1')
+       FROM short_values r JOIN short_forms f ON r.words = f.words AND regexp_replace(r.text, '([^ ])[^ ]*', '$1') = regexp_replace(f.text, '([^ ])[^ ]*', '$1')
        WHERE f.text RLIKE r.begins),
      sure AS (SELECT v, min(struct(step, dropped, id)).id AS id FROM (SELECT * FROM exact UNION ALL SELECT * FROM short) GROUP BY v),
 
@@ -46,10 +47,10 @@ WITH entry AS (SELECT id, explode(concat(array(name), coalesce(aliases, array())
      segment AS (
        SELECT id, form, n, k, i, substring(form, CAST(floor(i * n / (k + 1)) AS INT) + 1, CAST(floor((i + 1) * n / (k + 1)) - floor(i * n / (k + 1)) AS INT)) AS piece
        FROM (SELECT *, explode(sequence(0, k)) AS i FROM sized WHERE k > 0)),
-     open_values AS (SELECT r.v, r.dropped, r.joined, length(r.joined) AS m FROM readings r LEFT ANTI JOIN sure ON r.v = sure.v WHERE length(r.joined) BETWEEN 4 AND 256),
-     lengths AS (SELECT *, {EDITS.format(n="n")} AS k FROM (SELECT *, explode(sequence(m - {MAX_EDITS}, m + {MAX_EDITS})) AS n FROM open_values)),
+     open_values AS (SELECT r.v, r.dropped, r.joined, length(r.joined) AS m FROM readings r LEFT ANTI JOIN sure ON r.v = sure.v),
+     lengths AS (SELECT v, dropped, joined, m, n, k FROM (SELECT *, explode(sequence(m - {MAX_EDITS}, m + {MAX_EDITS})) AS n FROM open_values) JOIN (SELECT DISTINCT n, k FROM segment) USING (n)),
      places AS (SELECT *, CAST(floor(i * n / (k + 1)) AS INT) AS at, CAST(floor((i + 1) * n / (k + 1)) - floor(i * n / (k + 1)) AS INT) AS wide
-                FROM (SELECT *, explode(sequence(0, k)) AS i FROM lengths WHERE k > 0 AND abs(m - n) <= k)),
+                FROM (SELECT *, explode(sequence(0, k)) AS i FROM lengths WHERE abs(m - n) <= k)),
      pieces AS (SELECT v, dropped, joined, n, i, substring(joined, at + move + 1, wide) AS piece
                 FROM (SELECT *, explode(sequence(-k, k)) AS move FROM places) WHERE at + move >= 0 AND at + move + wide <= m),
      pairs AS (SELECT DISTINCT v, dropped, joined, id, form, s.k AS k FROM pieces p JOIN segment s ON p.n = s.n AND p.i = s.i AND p.piece = s.piece),
@@ -62,13 +63,13 @@ SELECT v, id FROM sure UNION ALL SELECT v, id FROM fuzzy
 def mapped(values: DataFrame, reference: DataFrame) -> DataFrame:
     """Each distinct ``v`` of ``values`` that means an entry of ``reference`` (id, name, aliases), with its ``id``.
 
-    Ties go to the fewest edits, then the longest form, then the smallest id. Null and blank values, and readings of over
-    256 letters, which no form comes near, have no edit match; an empty list maps nothing. The list is joined like any
+    Ties go to the fewest edits, then the longest form, then the smallest id. Null and blank values mean nothing; an empty
+    list maps nothing. The list is joined like any
     table, as Spark's size check decides.
     """
     return values.sparkSession.sql(MAPPED, found=values, reference=reference)
 
 
 def unmatched(values: DataFrame, matched: DataFrame) -> DataFrame:
-    """Distinct values, not blank, that mean no entry."""
-    return values.sparkSession.sql(r"SELECT DISTINCT a.v FROM {a} a LEFT ANTI JOIN (SELECT v AS known FROM {m}) ON a.v = known WHERE a.v RLIKE '\\S'", a=values, m=matched)
+    """Distinct values that mean no entry; blank ones (white space of any kind) are no values."""
+    return values.sparkSession.sql(r"SELECT DISTINCT a.v FROM {a} a LEFT ANTI JOIN (SELECT v AS known FROM {m}) ON a.v = known WHERE a.v RLIKE '[^\\s\\pZ]'", a=values, m=matched)

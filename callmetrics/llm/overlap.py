@@ -181,8 +181,29 @@ def cross_pairs(left: DataFrame, right: DataFrame, id_col: str = "id", text_col:
     texts, repeated rows and empty tables as in ``near_pairs``.
     """
     left, right = records(left, id_col, text_col), records(right, id_col, text_col)
+    links = cross_links(left, right, share, least)
+    return expand(links, members(left, least), members(right, least)).select(F.col("l").alias("left_id"), F.col("r").alias("right_id")).where("left_id <> right_id").distinct()
+
+
+def cross_links(left: DataFrame, right: DataFrame, share: float, least: int) -> DataFrame:
+    """Near bags of the left (a1, a2) and the right (b1, b2) ``records``."""
     order = frequent(left.union(right), "text")
     found = candidates(classes(left, order, share, least), classes(right, order, share, least), share, False)
-    ml, mr = members(left, least), members(right, least)
-    links = verified(found, texts(left), texts(right), share)
-    return expand(links, ml, mr).select(F.col("l").alias("left_id"), F.col("r").alias("right_id")).where("left_id <> right_id").distinct()
+    return verified(found, texts(left), texts(right), share)
+
+
+def cross_counts(left: DataFrame, right: DataFrame, id_col: str = "id", text_col: str = "text", share: float = SHARE, least: int = LEAST_WORDS) -> DataFrame:
+    """(id, links) of each left record with near right ones: their number, from the sizes of the classes alone.
+
+    No pair of records is made: a class's number is the sum of the sizes of its near classes. An id that stands on both sides
+    with near texts doesn't count as its own counterpart. Every id has one text; other cases as in ``cross_pairs``.
+    """
+    left, right = records(left, id_col, text_col), records(right, id_col, text_col)
+    links = cross_links(left, right, share, least)
+    ml, mr = members(left, least).distinct(), members(right, least).distinct()
+    sizes = mr.groupBy(F.col("c1").alias("b1"), F.col("c2").alias("b2")).agg(F.count(F.lit(1)).alias("n"))
+    of_class = links.join(sizes, ["b1", "b2"]).groupBy(F.col("a1").alias("c1"), F.col("a2").alias("c2")).agg(F.sum("n").alias("n"))
+    both = ml.select("id", F.col("c1").alias("a1"), F.col("c2").alias("a2")).join(mr.select("id", F.col("c1").alias("b1"), F.col("c2").alias("b2")), "id")
+    own = both.join(links, ["a1", "a2", "b1", "b2"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    out = ml.join(of_class, ["c1", "c2"]).join(own, "id", "left").select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("links"))
+    return out.where("links > 0")

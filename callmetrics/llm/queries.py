@@ -34,7 +34,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_by_split_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation records, and those of them that stand in the training split, per split and source."""
     held, train = sides(spark, sf_dir)
-    hit = overlap.cross_pairs(held, train, "task_id", "user_request").groupBy(F.col("left_id").alias("task_id")).agg(F.count(F.lit(1)).alias("links"))
+    hit = overlap.cross_counts(held, train, "task_id", "user_request").select(F.col("id").alias("task_id"), "links")
     held = held.select("task_id", F.trim(F.lower("split")).alias("split"), "source").distinct()
     return (
         held.join(hit, "task_id", "left")

@@ -30,9 +30,9 @@ v0 AS (SELECT v, contains(v, '.') AS short, {CUT.format(x="v")} AS w FROM (SELEC
 r AS (SELECT v, short, dropped, array_to_string(w, '') AS joined, {BARE.format(x="w")} AS w FROM (
   SELECT v, short, 0 AS dropped, w FROM v0 WHERE len(w) > 0 UNION ALL SELECT v, short, 1, w[2:] FROM v0 WHERE len(w) > 1 UNION ALL SELECT v, short, 1, w[:-2] FROM v0 WHERE len(w) > 1)),
 hit AS (SELECT v, 1 AS step, dropped AS x, 0 AS y, id FROM r JOIN f ON r.joined = f.joined OR r.joined = array_to_string(list_sort(f.w), ' ') OR array_to_string(list_sort(r.w), ' ') = f.joined OR list_sort(r.w) = list_sort(f.w)
-  UNION ALL SELECT v, 2, dropped, 0, id FROM r JOIN f ON short AND len(r.w) > 0 AND len(r.w) = len(f.w) AND len(list_filter(range(1, len(r.w) + 1), lambda i: NOT (starts_with(f.w[i], r.w[i]) AND r.w[i][1:3] = f.w[i][1:3]))) = 0),
+  UNION ALL SELECT v, 2, dropped, 0, id FROM r JOIN f ON short AND len(r.w) > 0 AND len(r.w) = len(f.w) AND len(list_filter(range(1, len(r.w) + 1), lambda i: NOT (starts_with(f.w[i], r.w[i])))) = 0),
 g AS (SELECT id, joined AS form FROM f UNION SELECT id, array_to_string(list_reverse(w), '') FROM f),
-near AS (SELECT v, 3 AS step, levenshtein(joined, form) + dropped AS x, -length(form) AS y, id FROM r JOIN g ON length(joined) BETWEEN 4 AND 256 AND levenshtein(joined, form) <= {K.format(n="length(form)")} AND levenshtein(joined, form) + dropped <= 4 AND (dropped = 0 OR levenshtein(joined, form) <= length(form) // 8) WHERE {K.format(n="length(form)")} > 0),
+near AS (SELECT v, 3 AS step, levenshtein(joined, form) + dropped AS x, -length(form) AS y, id FROM r JOIN g ON levenshtein(joined, form) <= {K.format(n="length(form)")} AND levenshtein(joined, form) + dropped <= 4 AND (dropped = 0 OR levenshtein(joined, form) <= length(form) // 8) WHERE {K.format(n="length(form)")} > 0),
 best AS (SELECT v, id FROM (SELECT v, id, row_number() OVER (PARTITION BY v ORDER BY step, x, y, id) AS k FROM (SELECT * FROM hit UNION ALL SELECT * FROM near)) WHERE k = 1)"""
 
 
@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_by_split_source": f"""{CROSS}, e AS (SELECT x.task_id FROM (SELECT a AS task_id FROM cr UNION ALL SELECT b FROM cr) x JOIN side USING (task_id) WHERE NOT starts_with(split, 'train')), h AS (SELECT task_id, count(*) AS links FROM e GROUP BY 1)
           SELECT split, source, count(*) AS records, count(links) AS leaked, CAST(coalesce(sum(links), 0) AS BIGINT) AS links FROM side LEFT JOIN h USING (task_id) WHERE NOT starts_with(split, 'train') GROUP BY 1, 2""",
         "p3_found": f"{DOMAINS} SELECT DISTINCT tool_id, coalesce(id, 0) AS domain_id FROM tools LEFT JOIN best ON v = domain WHERE regexp_matches(domain, '[^\\s\\p{{Z}}]')",
-        "p3_unmatched": f"{DOMAINS} SELECT domain, count(DISTINCT tool_id) AS records FROM tools WHERE domain NOT IN (SELECT v FROM best) AND regexp_matches(domain, '\\S') GROUP BY 1",
+        "p3_unmatched": f"{DOMAINS} SELECT domain, count(DISTINCT tool_id) AS records FROM tools WHERE domain NOT IN (SELECT v FROM best) AND regexp_matches(domain, '[^\\s\\p{{Z}}]') GROUP BY 1",
         "p4_found": f"WITH {REQUESTS}, {TOOLS} SELECT 'request' AS kind, a AS id_a, b AS id_b FROM rq UNION ALL SELECT 'tool', a, b FROM tp",
         "p6_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x1C-\x1F\x{85}]')) > 2048",
     }

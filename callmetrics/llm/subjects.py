@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callmetrics.llm.storage import checkpointed
@@ -42,6 +42,8 @@ DEAD_FIRST = 0.25
 NONE = (-1.0, -0.5, 0.0, 0.0)
 SAMPLE = 20_000
 PART = 0.25
+#: Weights are a matrix of words by areas in every worker, so a longer list of areas is an error.
+MOST_AREAS = 1_000
 
 
 @dataclass
@@ -322,8 +324,9 @@ def fitted(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str
     Languages of a hundredth of the documents or more are strata (so at most a hundred), the others and unknown ones one more.
     """
     lang = F.coalesce(F.trim(F.lower(F.col("lang").cast("string"))), F.lit(""))
-    counted = docs.groupBy(lang.alias("l")).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    langs = sorted(r["l"] for r in counted.where("n >= 0.01 * all AND l <> ''").collect())
+    least = 0.01 * docs.count()
+    counted = docs.groupBy(lang.alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    langs = sorted(r["l"] for r in counted.where((F.col("n") >= least) & (F.col("l") != "")).collect())
     docs = docs.withColumn("stratum", F.coalesce(F.array_position(F.array(*map(F.lit, langs)), lang).cast("int"), F.lit(0)) if langs else F.lit(0))
     strata = len(langs) + 1
     words = vocabulary(docs, MIN_SHARE, MIN_DOCS)
@@ -347,7 +350,9 @@ def classified(documents: DataFrame, labels: DataFrame, areas: DataFrame, doc_id
     """
     spark = documents.sparkSession
     docs = documents.where(F.col(doc_id).isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col(doc_id).alias("id"), "text", (F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")).alias("lang"))
-    subjects = sorted({r["subject"] for r in areas.select("subject").where("subject IS NOT NULL").distinct().limit(1000).collect()})
+    subjects = sorted(r["subject"] for r in areas.select("subject").where("subject IS NOT NULL").distinct().take(MOST_AREAS + 1))
+    if len(subjects) > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} subject areas")
     if not subjects:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['id']}, subject string, share double" + ", posterior double" * calibrate)
     model, docs = fitted(docs, labels, subjects, doc_id, calibrate=calibrate)

@@ -36,3 +36,13 @@ def test_every_record_with_a_domain_has_one_row(spark, sf):
     found = queries.p3_found(spark, sf).collect()
     want = {r.tool_id for r in spark.read.parquet(f"{sf}/tools.parquet").collect() if r.domain and r.domain.strip()}
     assert {r.tool_id for r in found} == want and len(found) == len(want)
+
+
+def test_short_and_long_values_are_read_whole(spark):
+    """Values under four letters and over 256 are within the radius like any other; a blank is no value in either form."""
+    long = "".join(chr(97 + i * i % 26) for i in range(300))
+    ref = spark.createDataFrame([(1, "code", []), (2, long, []), (3, "data science", [])], "id long, name string, aliases array<string>")
+    df = spark.createDataFrame([(v,) for v in ("cod", "cde", "codee", long[:-1], "da. s.", "co", " ", " ")], "v string")
+    found = canonical_list.mapped(df, ref)
+    assert {r.v: r.id for r in found.collect()} == {"cod": 1, "cde": 1, "codee": 1, long[:-1]: 2, "da. s.": 3}
+    assert {r.v for r in canonical_list.unmatched(df, found).collect()} == {"co"}

@@ -98,3 +98,12 @@ def test_found_queries_agree_on_the_test_data(spark, sf):
     tools = spark.read.parquet(f"{sf}/tools.parquet").select("tool_id", "doc_snippets").distinct().collect()
     got = {(r.id_a, r.id_b) for r in queries.p4_found(spark, sf).where("kind = 'tool'").collect()}
     assert got == brute({(r.tool_id, " ".join(x for x in r.doc_snippets if x is not None)) for r in tools if r.doc_snippets is not None})
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    """Ids that stand on both sides don't count as their own counterparts."""
+    rows = made(5)
+    left, right = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 != 1]
+    frames = [spark.createDataFrame(x * 2, "id string, text string") for x in (left, right)]
+    pairs = Counter(r.left_id for r in overlap.cross_pairs(*frames).collect())
+    assert {r.id: r.links for r in overlap.cross_counts(*frames).collect()} == dict(pairs) and pairs
