@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callmetrics.llm.storage import checkpointed
+
 TEXTS = ("tool_name", "server_name", "tool_purpose")
 SCHEMA = "input_schema_raw"
 
@@ -74,8 +76,11 @@ def collapsed(df: DataFrame, id_col: str = "tool_id") -> DataFrame:
 
 
 def copies(df: DataFrame, id_col: str = "tool_id") -> DataFrame:
-    """(keeper_id, copy_id) for each record that isn't its set's keeper; cases as in ``collapsed``."""
-    survivors = with_canonical(identical(df, id_col)).select("raw", "first_id", F.unhex(F.sha2("canon", 256)).alias("canon"))
+    """(keeper_id, copy_id) for each record that isn't its set's keeper; cases as in ``collapsed``.
+
+    The survivors' canonical texts are named by their SHA-256, made once and kept in the shared folder.
+    """
+    survivors = checkpointed(with_canonical(identical(df, id_col)).select("raw", "first_id", F.unhex(F.sha2("canon", 256)).alias("canon")))
     keepers = survivors.groupBy("canon").agg(F.min("first_id").alias("keeper_id"))
     keeper_of = survivors.join(keepers, "canon").select("raw", "keeper_id")
     ids = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("copy_id"), raw_key().alias("raw"))
