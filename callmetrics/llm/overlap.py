@@ -11,7 +11,7 @@ also the necessary prefix of an exact prefix filter; the order is that of rising
 the rarest words.
 
 In a table, pairs must pass three bounds, none of which loses a near pair: on the lengths; on the positions (the first word
-in common leaves at most the words from there on); and on the parities (each row carries 112 parity bits of its whole
+in common leaves at most the words from there on); and on the parities (each row carries 104 parity bits of its whole
 vector, and those of two texts differ in at most as many bits as the vectors do). What is left is verified on the texts.
 """
 
@@ -32,6 +32,8 @@ from callmetrics.llm.words import WORD, bag_id, frequent, mix, ordered_tokens, w
 
 SHARE = 0.75
 LEAST_WORDS = 8
+#: Lengths stand in 24 bits; texts of more words (16 million) are held against each other without the bounds.
+LONGEST = 0xFFFFFF
 
 
 def needed(n: np.ndarray, share: float) -> np.ndarray:
@@ -51,14 +53,14 @@ def table_rows(lists: pa.Array, listed: np.ndarray, rank: np.ndarray, share: flo
     bits = mix(tokens)
     low = np.left_shift(np.uint64(1), bits & np.uint64(63))
     low[(bits >> np.uint64(6)) & np.uint64(1) == 1] = 0
-    high = np.left_shift(np.uint64(1), np.uint64(16) + (bits & np.uint64(63)) % np.uint64(48))
+    high = np.left_shift(np.uint64(1), np.uint64(24) + (bits & np.uint64(63)) % np.uint64(40))
     high[(bits >> np.uint64(6)) & np.uint64(1) == 0] = 0
     p1, p2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     if len(tokens):
         full = np.flatnonzero(n)
         p1[full] = np.bitwise_xor.reduceat(low, offsets[full])
         p2[full] = np.bitwise_xor.reduceat(high, offsets[full])
-    p2 |= np.minimum(n, 65535).astype(np.uint64)
+    p2 |= np.minimum(n, LONGEST).astype(np.uint64)
     keep = np.minimum(n, n - needed(n, share) + 1 + extra)
     first = (np.arange(len(tokens)) - offsets[row]) < keep[row]
     return n, p1.view(np.int64), p2.view(np.int64), tokens[first].view(np.int64), np.r_[0, np.cumsum(keep)]
@@ -92,11 +94,11 @@ def candidates(left: DataFrame, right: DataFrame, share: float, same: bool) -> D
     """Distinct (a, b) of rids that collide in a table and pass the bounds on lengths, positions and parities."""
     a = left.select(F.posexplode("keys").alias("i", "key"), F.col("rid").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
     b = right.select(F.posexplode("keys").alias("j", "key"), F.col("rid").alias("b"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-    length = lambda x: F.col(x).bitwiseAND(F.lit(0xFFFF))
+    length = lambda x: F.col(x).bitwiseAND(F.lit(LONGEST))
     n, m = F.greatest(length("a2"), length("b2")), F.least(length("a2"), length("b2"))
-    cut = F.lit(65535)
+    cut = F.lit(LONGEST)
     least = F.ceil(F.round(F.lit(share) * n, 9))
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.shiftrightunsigned(F.col("a2").bitwiseXOR(F.col("b2")), 16))
+    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.shiftrightunsigned(F.col("a2").bitwiseXOR(F.col("b2")), 24))
     reachable = F.least(length("a2") - F.col("i"), length("b2") - F.col("j")) >= least
     passes = (n >= cut) | ((m >= least) & reachable & (differ <= n + m - 2 * least))
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) if same else F.lit(True)).where(passes)

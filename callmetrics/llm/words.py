@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callmetrics.llm.storage import checkpointed
+
 #: Runs of Unicode letters and digits, without the underscore.
 WORD = r"[\p{L}\p{N}]+"
 
-#: Size of the broadcast list of frequent words (16 bytes each, whatever the corpus holds).
-TOP_WORDS = 50_000
+#: The broadcast list of words holds those of so many occurrences, but no more entries (of 16 bytes) than the bound.
+LEAST_COUNT, MOST_WORDS = 8, 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -24,15 +26,20 @@ def bag_id(found: Column) -> tuple[Column, Column]:
     return F.xxhash64(bag), F.xxhash64(F.lit(1), bag)
 
 
-def frequent(df: DataFrame, text: str, top: int = TOP_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The ``top`` most frequent words of all rows as 32-bit hashes (sorted) with their rank, rarest first.
+def frequent(df: DataFrame, text: str, least: int = LEAST_COUNT, most: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The words that occur ``least`` times or more as 32-bit hashes (sorted) with their rank, rarest first.
 
-    Counts cover every row and are combined before the shuffle. The list only decides the order in which
-    words are tried, never which pairs are found, so a collision of hashes does no harm.
+    Counts cover every row and are combined before the shuffle. Words off the list occur in fewer than ``least`` texts, so
+    their order among themselves hardly matters. The list grows with the corpus; where it would pass ``most`` entries, the
+    least count is doubled until it doesn't. It only decides the order in which words are tried, never which pairs are
+    found, so a collision of hashes does no harm.
     """
     hashed = F.transform(words(F.col(text)), lambda w: F.xxhash64(w).bitwiseAND(F.lit(0xFFFFFFFF)))
     counts = df.select(F.explode(hashed).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    rows = counts.orderBy(F.desc("c"), "w").limit(top).toArrow()
+    counts = checkpointed(counts.where(F.col("c") >= least))
+    sizes = {r["e"]: r["n"] for r in counts.groupBy(F.floor(F.log2(F.col("c") / least) + 1e-9).alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    step = min((e for e in range(64) if sum(n for k, n in sizes.items() if k >= e) <= most))
+    rows = counts.where(F.col("c") >= least * 2**step).toArrow()
     w, c = rows["w"].to_numpy().astype(np.uint64), rows["c"].to_numpy()
     rank = np.empty(len(w), np.uint64)
     rank[np.lexsort((w, c))] = np.arange(len(w), dtype=np.uint64)
