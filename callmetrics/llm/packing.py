@@ -22,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmetrics.llm.storage import checkpointed
+
 CAPACITY = 2048
 GROUPS = 32
 LARGE = 1 / 8
-SALTS = 64
+#: Pieces of one size that are ranked in one group, on average; at most so many groups a size, as their counts reach the driver.
+PER_SALT, MOST_SALTS = 200_000, 1024
 #: A run of letters, digits and underscores, or any other character that isn't white space.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x1C-\x1F\x{85}]"
 
@@ -191,16 +194,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return np.array(sorted(rows), np.int64).reshape(-1, 6), rooms.used
 
 
-def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE, salts: int = SALTS) -> DataFrame:
+def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE, per_salt: int = PER_SALT) -> DataFrame:
     """container, position, doc_id, token_start, token_end: every token of every text in one place.
 
     Texts without tokens (null, empty, blank) take no room and give no row; rows with a null id are left out; rows are
     packed as they are, so a repeated row takes its room again; an empty table gives no row; other columns are ignored.
-    Texts of any length are counted whole.
+    Texts of any length are counted whole. Salts grow with the corpus, so a group to be ranked has some ``per_salt`` pieces
+    at most, however frequent its size.
     """
     spark = df.sparkSession
     sized = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("tokens"), F.monotonically_increasing_id().alias("at"))
-    sized = sized.where("tokens > 0 AND at >= 0")
+    sized = checkpointed(sized.where("tokens > 0 AND at >= 0").select("doc_id", "tokens"))  # texts are cut into tokens once
+    whole = F.floor(F.col("tokens") / capacity)
+    most = sized.groupBy(F.least("tokens", F.lit(capacity)).alias("size")).agg(F.sum(F.greatest(whole, F.lit(1))).alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = min(MOST_SALTS, max(16, math.ceil(most / per_salt)))
     cuts = F.explode(F.sequence(F.lit(0), (F.col("tokens") - 1).cast("int"), F.lit(capacity)))
     pieces = sized.select("doc_id", "tokens", cuts.alias("token_start")).select(
         "doc_id", "token_start", F.least(F.col("tokens") - F.col("token_start"), F.lit(capacity)).alias("size"),
