@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callmetrics.functions import similarity, stats, text
 from callmetrics.operators import search
 from callmetrics.operators import tool_features as tf
-from callmetrics.plans.tools import FEAT
+from callmetrics.plans.tools import FEAT, SOURCE
 from callmetrics.plans.views import ABSTAIN, TOOLS, read, tools
 
 
@@ -70,7 +70,7 @@ def opposed(a, b, ea, eb):
 
 def m3_hard_scores(spark, d):
     """Relation and score of candidates with their anchor, by level: names, texts, arguments, domain, effect, opposite verbs."""
-    t = tf.features(tools(spark, d, "tool_name", "tool_purpose", "server_name", "domain", "source_type", "arguments", "doc_snippets"))
+    t = tf.features(tools(spark, d, *SOURCE))
     tokens = lambda *c: F.array_distinct(text.distractor_tokens(F.concat_ws(" ", *c)))
     f = t.select("tool_id", F.struct(
         tokens("tool_name").alias("name"), tokens("tool_name", "tool_purpose").alias("text"), F.coalesce(F.array_distinct("arguments.name"), F.array().cast("array<string>")).alias("args"),

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import similarity, stats, text
 from callmetrics.operators import tool_features as tf
-from callmetrics.plans.views import TOOLS, read, tools
+from callmetrics.plans.views import SCHEMAS, TOOLS, read, tools
 
-SOURCE = ("tool_name", "tool_purpose", "server_name", "domain", "source_type", "arguments", "doc_snippets")
+SOURCE = ("tool_name", "tool_purpose", "server_name", "domain", "source_type", "arguments", "doc_snippets", "input_schema_raw")
 LETTERS = ("tool_id", "normalized_name", "summary", "documentation_length")
 
 
@@ -50,7 +50,7 @@ def b13_difficulty(spark, d):
 def b19_ambiguity_flags(spark, d):
     """Flag counts: a missing purpose, no arguments, arguments without a description."""
     df = featured(spark, d)
-    flags = F.array_compact(F.array(F.when(F.col("documentation_length") == 0, "missing_tool_description"), F.when(F.col("num_arguments") == 0, "empty_input_schema"), F.when(F.col("described") < F.col("num_arguments"), "missing_argument_description")))
+    flags = F.array_compact(F.array(F.when(F.col("documentation_length") == 0, "missing_tool_description"), F.when(F.col("num_arguments") == 0, "empty_input_schema"), F.when(F.col("undescribed") > 0, "missing_argument_description")))
     return df.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("tools"))
 
 
@@ -70,17 +70,23 @@ def c23_violations(spark, d):
     return df.agg(*[blank(c).alias(c) for c in ("tool_name", "tool_purpose", "server_name", "domain")]).unpivot([], ["tool_name", "tool_purpose", "server_name", "domain"], "field", "missing")
 
 
-def clean_domain():
+def typed_domain():
+    """A domain as it was typed, without regard to case and blanks."""
     return F.coalesce(F.nullif(text.normalized_request(F.col("domain")), F.lit("")), F.lit("general"))
 
 
+def b8_domains(spark, d):
+    """Canonical domains: aliases resolved, missing ones inferred from the texts."""
+    return featured(spark, d).groupBy("clean_domain", F.col("canonical").isNull().alias("inferred")).agg(F.count(F.lit(1)).alias("tools"))
+
+
 def e7_dataset_stats(spark, d):
-    df = featured(spark, d).withColumn("domain", clean_domain())
+    df = featured(spark, d).withColumn("domain", F.col("clean_domain"))
     return df.groupBy("source_type", "domain", "side_effect_type").agg(F.count(F.lit(1)).alias("tools"), F.countDistinct("server_name").alias("servers"), stats.mean(F.col("num_arguments")).alias("avg_arguments"), stats.mean(F.col("ambiguity")).alias("avg_ambiguity"))
 
 
 def e8_domain_complexity(spark, d):
-    df = featured(spark, d).withColumn("domain", clean_domain())
+    df = featured(spark, d).withColumn("domain", F.col("clean_domain"))
     return df.groupBy("domain").agg(F.count(F.lit(1)).alias("tools"), stats.mean(F.col("num_arguments")).alias("avg_arguments"), stats.mean(F.col("num_required")).alias("avg_required"), F.count_if("has_object").alias("nested"), F.count_if("has_array").alias("arrays"), F.sum("num_enum").cast("long").alias("enums"), stats.mean(F.col("documentation_length")).alias("avg_doc"), F.count_if(F.col("difficulty") == "hard").alias("hard"))
 
 
@@ -106,10 +112,21 @@ def f23_top_terms(spark, d):
     return df.groupBy("token").agg(F.count(F.lit(1)).alias("tools")).where("tools >= 2").orderBy(F.desc("tools"), "token").limit(32)
 
 
+def schema_hash():
+    """Sixteen hex digits that name a schema: equal for equal JSON values, whatever their order of members and layout."""
+    return F.substring(F.sha2(F.to_json(tf.schema(F.col("input_schema_raw"))), 256), 1, 16)
+
+
+def b3_schema_hash(spark, d):
+    """The first tool and the number of tools of each schema value that two tools or more have."""
+    g = tools(spark, d, "input_schema_raw", "arguments").groupBy(schema_hash().alias("h")).agg(F.count(F.lit(1)).alias("tools"), F.min("tool_id").alias("first_tool"))
+    return g.where("tools > 1").select("first_tool", "tools")
+
+
 def f1_dedupe(spark, d):
-    """The first tool of each (normalised name, schema text): copies of one key are combined before the shuffle."""
-    df = tools(spark, d, "tool_name", "input_schema_raw").select("tool_id", text.tool_name(F.col("tool_name")).alias("name"), F.md5(F.coalesce("input_schema_raw", F.lit(""))).alias("schema"))
-    return df.groupBy("name", "schema").agg(F.min("tool_id").alias("tool_id"), F.count(F.lit(1)).alias("copies"))
+    """The first tool of each (normalised name, schema value) and its number of copies, which are combined before the shuffle."""
+    df = tools(spark, d, "tool_name", "input_schema_raw", "arguments").select("tool_id", text.tool_name(F.col("tool_name")).alias("name"), schema_hash().alias("schema"))
+    return df.groupBy("name", "schema").agg(F.min("tool_id").alias("tool_id"), F.count(F.lit(1)).alias("copies")).select("name", "tool_id", "copies")
 
 
 def capped(df, keys, order, cap):
@@ -225,7 +242,7 @@ def n22_memory(spark, d):
 
 def d13_adjacent(spark, d):
     """The first other tool of each tool's domain by id, else the first of all: two minima a domain, no pairs."""
-    t = tools(spark, d, "domain").select("tool_id", clean_domain().alias("domain"))
+    t = tools(spark, d, "domain").select("tool_id", typed_domain().alias("domain"))
     first = t.groupBy("domain").agg(F.min("tool_id").alias("first"))
     second = t.join(first, "domain").where("tool_id <> first").groupBy("domain").agg(F.min("tool_id").alias("second"))
     overall = t.agg(F.min("tool_id").alias("any"))
@@ -248,23 +265,34 @@ QUERIES = {k: f for k, f in globals().items() if callable(f) and (k[0] in "bcdef
 
 M = lambda x: f"round(coalesce(avg(CAST({x} AS DOUBLE)), 0) + 1e-9::DOUBLE, 4)"
 MARK = lambda ms, t="txt": "(" + " OR ".join([f"regexp_matches({t}, '(^|[^a-z0-9])({'|'.join(m for m in ms if ' ' not in m)})([^a-z0-9]|$)')"] + [f"contains({t}, '{m}')" for m in ms if " " in m]) + ")"
-FIRST = lambda rules, default: "CASE " + " ".join(f"WHEN {MARK(m)} THEN '{x}'" for x, m in rules) + f" ELSE '{default}' END"
+FIRST = lambda rules, default, t: "CASE " + " ".join(f"WHEN {MARK(m, t)} THEN '{x}'" for x, m in rules) + f" ELSE {default} END"
 ARGS = lambda c: f"coalesce(len(list_filter(arguments, lambda a: {c})), 0)"
 COLLAPSE = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
 NAME = lambda x: f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 DIST = lambda x: f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), lambda x: length(x) > 1)"
 RETR = lambda x: f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_./*?-]+')"
-FEAT = f"""WITH {TOOLS}, f0 AS (SELECT *, {COLLAPSE('tool_purpose')} AS purpose, {NAME('tool_name')} AS normalized_name, coalesce(len(arguments), 0) AS num_arguments, {ARGS('a.required')} AS num_required,
-  {ARGS('a.enum IS NOT NULL')} AS num_enum, {ARGS("a.type = 'array'")} > 0 AS has_array, {ARGS("a.type = 'object'")} > 0 AS has_object, {ARGS("a.type = 'boolean'")} > 0 AS has_boolean,
-  {ARGS("coalesce(a.description, '') <> ''")} AS described, {ARGS("a.type = 'string'")} > 0 AS has_string FROM tl),
-f1 AS (SELECT *, lower(coalesce(domain, '') || ' ' || coalesce(replace(tool_name, '_', ' '), '') || ' ' || purpose) AS txt, length(purpose) AS documentation_length FROM f0),
-f2 AS (SELECT *, {FIRST(tf.SIDE_EFFECTS, 'unknown')} AS side_effect_type, {FIRST(tf.DOMAINS, 'general')} AS inferred_domain, {MARK(tf.AUTH)} AS auth_required,
-  round(least(1, CASE WHEN documentation_length < 80 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN num_arguments = 0 THEN 0.35::DOUBLE WHEN described < num_arguments THEN least(0.35::DOUBLE, 0.1::DOUBLE + 0.25::DOUBLE * (num_arguments - described) / num_arguments) ELSE 0 END
-    + 0.15::DOUBLE + CASE WHEN num_enum = 0 AND has_string THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN num_arguments >= 5 THEN 0.1::DOUBLE ELSE 0 END) + 1e-9::DOUBLE, 4) AS ambiguity,
-  round(least(1, CASE WHEN documentation_length > 0 THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN coalesce(len(doc_snippets), 0) > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN num_arguments > 0 THEN 0.4::DOUBLE * described / num_arguments ELSE 0 END) + 1e-9::DOUBLE, 4) AS completeness FROM f1),
-ft AS (SELECT *, CASE WHEN has_object OR has_array OR num_enum > 0 OR side_effect_type IN ('write', 'delete', 'execute', 'external_communication') OR ambiguity >= 0.45 OR regexp_matches(txt, 'similar|variant|mode|filter|selector') OR num_arguments > 5 THEN 'hard'
-  WHEN num_arguments BETWEEN 3 AND 5 OR num_arguments > num_required THEN 'medium' ELSE 'easy' END AS difficulty,
-  coalesce(nullif(trim(regexp_replace(lower(coalesce(domain, '')), '\\s+', ' ', 'g')), ''), 'general') AS clean_domain FROM f2)"""
+TYPED = lambda t: f"""regexp_matches(pj, '"type":("{t}"|\\[[^\\]]*"{t}")')"""
+ALIAS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in [*((x, x) for x in tf.CANONICAL), *tf.ALIASES.items()]) + "}"
+PLAIN = "replace(trim(regexp_replace(replace(lower(domain), '_', ' '), '\\s+', ' ', 'g')), ' / ', '/')"
+FEAT = f"""WITH RECURSIVE {TOOLS}, {SCHEMAS}, f0 AS (SELECT *, {COLLAPSE('tool_purpose')} AS purpose, {NAME('tool_name')} AS normalized_name, lower(coalesce(tool_name, '') || ' ' || coalesce(tool_purpose, '')) AS said,
+  CASE json_type(j, '$.properties') WHEN 'OBJECT' THEN json_keys(j, '$.properties') ELSE [] END AS ks, CASE json_type(j, '$.required') WHEN 'ARRAY' THEN json_extract_string(j, '$.required[*]') ELSE [] END AS rq,
+  CASE json_type(j, '$.properties') WHEN 'OBJECT' THEN json_extract(j, '$.properties')::VARCHAR ELSE '' END AS pj,
+  coalesce({ALIAS}[{PLAIN}], {ALIAS}[replace({PLAIN}, ' ', '_')], nullif(trim(domain), '')) AS canonical FROM sj),
+f1 AS (SELECT *, len(ks) AS num_arguments, len(list_filter(ks, lambda k: list_contains(rq, k))) AS num_required, len(regexp_extract_all(j::VARCHAR, '"enum":\\[')) AS num_enum, {TYPED('array')} AS has_array, {TYPED('object')} AS has_object,
+  {TYPED('boolean')} AS has_boolean, {TYPED('string')} AS has_string, length(purpose) AS documentation_length,
+  len(list_filter(ks, lambda k: json_type(j, '$.properties."' || k || '"') = 'OBJECT' AND coalesce(json_extract_string(j, '$.properties."' || k || '".description'), '') = '')) AS undescribed,
+  {ARGS("coalesce(a.description, '') <> ''")} AS described, coalesce(len(arguments), 0) AS listed, lower(coalesce(canonical, 'general')) || ' ' || said AS acting,
+  lower(coalesce(source_type, '') || ' ' || coalesce(server_name, '') || ' ' || coalesce(tool_name, '') || ' ' || coalesce(tool_purpose, '')) AS placed FROM f0),
+f2 AS (SELECT *, {FIRST(tf.SIDE_EFFECTS, "'unknown'", 'acting')} AS side_effect_type, {FIRST(tf.DOMAINS, "CASE WHEN starts_with(source_type, 'bfcl') THEN 'math/data processing' ELSE 'general' END", 'placed')} AS inferred_domain, {MARK(tf.AUTH, 'lower(purpose)')} AS auth_required,
+  round(least(1, CASE WHEN documentation_length < 80 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN num_arguments = 0 THEN 0.35::DOUBLE WHEN undescribed > 0 THEN least(0.35::DOUBLE, 0.1::DOUBLE + 0.25::DOUBLE * undescribed / num_arguments) ELSE 0 END
+    + CASE WHEN coalesce(json_type(j, '$.additionalProperties') = 'BOOLEAN' AND json_extract_string(j, '$.additionalProperties') = 'false', false) THEN 0 ELSE 0.15::DOUBLE END + CASE WHEN num_enum = 0 AND has_string THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN num_arguments >= 5 THEN 0.1::DOUBLE ELSE 0 END) + 1e-9::DOUBLE, 4) AS ambiguity,
+  round(least(1, CASE WHEN documentation_length > 0 THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN coalesce(len(doc_snippets), 0) > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN listed > 0 THEN 0.4::DOUBLE * described / listed ELSE 0 END) + 1e-9::DOUBLE, 4) AS completeness FROM f1),
+ft AS (SELECT *, CASE WHEN has_object OR has_array OR num_enum > 0 OR side_effect_type IN ('write', 'delete', 'execute', 'external_communication') OR ambiguity >= 0.45 OR regexp_matches(said, 'similar|variant|mode|filter|selector') OR num_arguments > 5 THEN 'hard'
+  WHEN num_arguments BETWEEN 3 AND 5 OR num_arguments > num_required THEN 'medium' ELSE 'easy' END AS difficulty, coalesce(canonical, inferred_domain) AS clean_domain,
+  coalesce(nullif(trim(regexp_replace(lower(coalesce(domain, '')), '\\s+', ' ', 'g')), ''), 'general') AS typed_domain FROM f2)"""
+#: kj: tools with a text c that is equal for schemas that are one JSON value: their (path, leaf) pairs in order.
+CANON = f"""WITH {TOOLS}, {SCHEMAS}, tr AS (SELECT tool_id, unnest(list_transform(list_zip(t.k, t.v, t.y), lambda x: x)) AS x FROM (SELECT tool_id, (SELECT {{'k': list(fullkey ORDER BY fullkey), 'v': list(CASE WHEN type IN ('OBJECT', 'ARRAY') THEN type ELSE value::VARCHAR END ORDER BY fullkey), 'y': list(type ORDER BY fullkey)}} FROM json_tree(j)) AS t FROM sj)),
+kt AS (SELECT tool_id, list(x[1] || '=' || x[2] ORDER BY x[1]) AS c FROM tr GROUP BY 1), kj AS (SELECT tl.tool_id, tl.tool_name, coalesce(kt.c, []) AS c FROM tl LEFT JOIN kt USING (tool_id))"""
 W = f"WITH {TOOLS}"
 NAMES = f"{W}, nw AS (SELECT list_sort(list_distinct({DIST(NAME('tool_name'))})) AS w, min(tool_id) AS tool_id, count(*) AS tools FROM tl GROUP BY 1 HAVING len(w) > 0)"
 SQL = {
@@ -273,9 +301,9 @@ SQL = {
     "b7_ambiguity": f"{FEAT} SELECT tool_id, ambiguity, completeness FROM ft",
     "b9_inferred_domain": f"{FEAT} SELECT tool_id, inferred_domain FROM ft",
     "b11_source_category": f"{FEAT} SELECT source_type AS source_category, count(*) AS tools FROM ft GROUP BY 1",
-    "b12_side_effect": FEAT + " SELECT tool_id, side_effect_type, auth_required, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{x}' END" for x, c in (("writes_data", "contains(txt, 'write')"), ("creates_resource", "contains(txt, 'create')"), ("deletes_resource", "contains(txt, 'delete') OR contains(txt, 'remove')"), ("moves_resource", "contains(txt, 'move') "), ("updates_resource", "contains(txt, 'update')"), ("external_communication", "contains(txt, 'send')"), ("executes_code", "contains(txt, 'execute') OR contains(txt, 'run')"))) + "], lambda x: x IS NOT NULL), ',') AS hints FROM ft",
+    "b12_side_effect": FEAT + " SELECT tool_id, side_effect_type, auth_required, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{x}' END" for x, c in (("writes_data", "contains(said, 'write')"), ("creates_resource", "contains(said, 'create')"), ("deletes_resource", "contains(said, 'delete') OR contains(said, 'remove')"), ("moves_resource", "contains(said, 'move') "), ("updates_resource", "contains(said, 'update')"), ("external_communication", "contains(said, 'send')"), ("executes_code", "contains(said, 'execute') OR contains(said, 'run')"))) + "], lambda x: x IS NOT NULL), ',') AS hints FROM ft",
     "b13_difficulty": f"{FEAT} SELECT side_effect_type, difficulty, count(*) AS tools FROM ft GROUP BY 1, 2",
-    "b19_ambiguity_flags": f"{FEAT} SELECT flag, count(*) AS tools FROM (SELECT unnest([CASE WHEN documentation_length = 0 THEN 'missing_tool_description' END, CASE WHEN num_arguments = 0 THEN 'empty_input_schema' END, CASE WHEN described < num_arguments THEN 'missing_argument_description' END]) AS flag FROM ft) WHERE flag IS NOT NULL GROUP BY 1",
+    "b19_ambiguity_flags": f"{FEAT} SELECT flag, count(*) AS tools FROM (SELECT unnest([CASE WHEN documentation_length = 0 THEN 'missing_tool_description' END, CASE WHEN num_arguments = 0 THEN 'empty_input_schema' END, CASE WHEN undescribed > 0 THEN 'missing_argument_description' END]) AS flag FROM ft) WHERE flag IS NOT NULL GROUP BY 1",
     "b33_tokens": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) AS tokens, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS blank_words FROM documents",
     "b33_tokens_by_kind": r"SELECT doc_kind, coalesce(lang, 'unknown') AS lang, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens, max(t) AS longest FROM (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) AS t FROM documents) GROUP BY 1, 2",
     "c23_violations": W + " ".join(f"{'' if i == 0 else 'UNION ALL'} SELECT '{c}' AS field, count(*) AS missing FROM tl WHERE trim(coalesce({c}, '')) = ''" for i, c in enumerate(("tool_name", "tool_purpose", "server_name", "domain"))),
@@ -285,7 +313,9 @@ SQL = {
     "e10_histograms": FEAT + " UNION ALL ".join(f" SELECT '{c}' AS column_name, {c} AS value, count(*) AS tools FROM ft GROUP BY 2" for c in ("side_effect_type", "difficulty", "source_type", "inferred_domain")),
     "e30_document_frequency": f"SELECT token, count(*) AS documents FROM (SELECT unnest(list_distinct({RETR('text')})) AS token FROM documents) GROUP BY 1",
     "f23_top_terms": f"{W} SELECT token, count(*) AS tools FROM (SELECT unnest(list_distinct({DIST('tool_name')})) AS token FROM tl) GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 32",
-    "f1_dedupe": f"{W} SELECT {NAME('tool_name')} AS name, md5(coalesce(input_schema_raw, '')) AS schema, min(tool_id) AS tool_id, count(*) AS copies FROM tl GROUP BY 1, 2",
+    "f1_dedupe": f"{CANON} SELECT {NAME('tool_name')} AS name, min(tool_id) AS tool_id, count(*) AS copies FROM kj GROUP BY 1, c",
+    "b3_schema_hash": f"{CANON} SELECT min(tool_id) AS first_tool, count(*) AS tools FROM kj GROUP BY c HAVING count(*) > 1",
+    "b8_domains": f"{FEAT} SELECT clean_domain, canonical IS NULL AS inferred, count(*) AS tools FROM ft GROUP BY 1, 2",
     "f3_source_cap": f"{W} SELECT source_type, tool_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY tool_id) AS rank FROM tl) WHERE rank <= 50",
     "f4_fraction_cap": f"{W}, k AS (SELECT floor(0.1::DOUBLE * count(*) / 0.9::DOUBLE) AS cap FROM tl WHERE source_type <> 'handwritten') SELECT tool_id, source_type FROM (SELECT *, row_number() OVER (PARTITION BY source_type = 'handwritten' ORDER BY tool_id) AS r FROM tl) WHERE source_type IS DISTINCT FROM 'handwritten' OR r <= (SELECT cap FROM k)",
     "f9_shuffled": f"{W} SELECT tool_id FROM tl ORDER BY md5('42|' || tool_id) LIMIT 100",
@@ -299,7 +329,7 @@ SQL = {
     "n22_memory": f"""{W}, mm AS (SELECT tool_id, 'purpose' AS kind, tool_purpose AS txt FROM tl UNION ALL SELECT tool_id, 'doc', unnest(doc_snippets) FROM tl UNION ALL SELECT tool_id, 'warning', unnest(usage_warnings) FROM tl
       UNION ALL SELECT tool_id, 'argument', a.description FROM (SELECT tool_id, unnest(arguments) AS a FROM tl))
       SELECT kind, count(*) AS rows, count(DISTINCT tool_id) AS tools, CAST(sum(len(list_filter(regexp_split_to_array(txt, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS words FROM mm WHERE trim(txt) <> '' GROUP BY 1""",
-    "d13_adjacent": f"{FEAT} SELECT a.tool_id, coalesce((SELECT min(b.tool_id) FROM ft b WHERE b.clean_domain = a.clean_domain AND b.tool_id <> a.tool_id), (SELECT CASE WHEN min(b.tool_id) <> a.tool_id THEN min(b.tool_id) END FROM ft b)) AS adjacent FROM ft a",
+    "d13_adjacent": f"{FEAT} SELECT a.tool_id, coalesce((SELECT min(b.tool_id) FROM ft b WHERE b.typed_domain = a.typed_domain AND b.tool_id <> a.tool_id), (SELECT CASE WHEN min(b.tool_id) <> a.tool_id THEN min(b.tool_id) END FROM ft b)) AS adjacent FROM ft a",
     "e25_source_summary": f"{FEAT} SELECT source_type, count(*) AS tools, count(DISTINCT server_name) AS servers, array_to_string(list_sort(list(DISTINCT side_effect_type)), ',') AS effects FROM ft GROUP BY 1",
     "e18_warnings": f"{W} SELECT regexp_replace(w, '[0-9]+', '#', 'g') AS warning, count(*) AS times, count(DISTINCT tool_id) AS tools FROM (SELECT tool_id, unnest(usage_warnings) AS w FROM tl) WHERE w IS NOT NULL GROUP BY 1",
 }

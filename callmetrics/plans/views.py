@@ -45,6 +45,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOOLS = "tl AS (SELECT DISTINCT ON (tool_id) * FROM tools ORDER BY tool_id)"
+#: sj: tools with their schema j, an object: the text, unwrapped once if it is JSON in a JSON string, else rebuilt from the arguments.
+SCHEMAS = """s0 AS (SELECT *, input_schema_raw AS s FROM tl), s1 AS (SELECT *, CASE WHEN json_valid(s) THEN CASE json_type(s) WHEN 'OBJECT' THEN s WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(s, '$')) AND json_type(json_extract_string(s, '$')) = 'OBJECT' THEN json_extract_string(s, '$') END END END AS good,
+  '{"type":"object","properties":{' || array_to_string(list_transform(arguments, lambda a: to_json(a.name) || ':{' || concat_ws(',', CASE WHEN a.type IS NOT NULL THEN '"type":' || to_json(a.type) END, CASE WHEN a.description IS NOT NULL THEN '"description":' || to_json(a.description) END, CASE WHEN a.enum IS NOT NULL THEN '"enum":' || to_json(a.enum) END,
+    CASE WHEN json_valid(a.items_schema) THEN '"items":' || a.items_schema END, CASE WHEN json_valid(a.properties) THEN '"properties":' || a.properties END) || '}'), ',') || '},"required":' || to_json(list_transform(list_filter(arguments, lambda a: a.required), lambda a: a.name)) || '}' AS built FROM s0),
+sj AS (SELECT * EXCLUDE (s, good, built), json(coalesce(good, built, '{"type":"object"}')) AS j FROM s1)"""
 TASKS = "ev AS (SELECT DISTINCT ON (task_id) * FROM eval_tasks ORDER BY task_id)"
 PREDICTIONS = """
 p0 AS (SELECT DISTINCT ON (record_id) * FROM predictions ORDER BY record_id),
