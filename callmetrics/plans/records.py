@@ -216,12 +216,29 @@ def e14_slice_deltas(spark, d):
     return g.where(F.col("baseline_name") != ANCHOR).join(a, ["dimension", "value"]).select("dimension", "value", "baseline_name", "n", "anchor_n", F.round(F.col("anchor") - F.col("joint_exact_match"), 4).alias("delta"))
 
 
+QUANTILES = {"p50": 0.5, "p95": 0.95}
+
+
 def e21_cost_latency(spark, d):
-    """Latency (nulls skipped) and tokens by condition and model, with exact quantiles."""
-    return predictions(spark, d).groupBy("baseline_name", "model_slug").agg(
-        F.count(F.lit(1)).alias("n"), F.count("latency_ms").alias("timed"), F.round(F.avg("latency_ms"), 4).alias("avg_latency"), F.sum("prompt_tokens").alias("tokens"),
-        F.round(F.percentile("latency_ms", 0.5), 4).alias("p50"), F.round(F.percentile("latency_ms", 0.95), 4).alias("p95"),
-    )
+    """Latency (nulls skipped) and tokens by condition and model, with exact interpolated quantiles.
+
+    Values are counted in narrow bins first (a few thousand rows a group whatever the number of records); only the values of
+    the bins that hold a quantile's two ranks are counted one by one, so no group's values are gathered.
+    """
+    keys, p = ["baseline_name", "model_slug"], predictions(spark, d).select("baseline_name", "model_slug", "latency_ms", "prompt_tokens")
+    sums = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("latency_ms").alias("timed"), F.round(F.avg("latency_ms"), 4).alias("avg_latency"), F.sum("prompt_tokens").alias("tokens"))
+    v = p.where("latency_ms IS NOT NULL").select(*keys, "latency_ms", F.floor(F.signum("latency_ms") * F.log2(1 + F.abs("latency_ms")) * 128).alias("bin"))
+    running = lambda df, by, n: df.withColumn("upto", F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0)))
+    bins = running(v.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("c")), [*keys, "bin"], "c").withColumn("before", F.col("upto") - F.col("c"))
+    at = [F.struct(F.lit(q).alias("q"), F.lit(hi).alias("hi"), ((F.ceil if hi else F.floor)(F.lit(x) * (F.col("timed") - 1)) + 1).alias("rank")) for q, x in QUANTILES.items() for hi in (False, True)]
+    wanted = sums.where("timed > 0").select(*keys, F.explode(F.array(*at)).alias("w")).select(*keys, "w.*")
+    held = bins.join(wanted, keys).where("rank > before AND rank <= upto").select(*keys, "bin", "before", "q", "hi", "rank")
+    near = v.join(held.select(*keys, "bin").distinct(), [*keys, "bin"], "left_semi").groupBy(*keys, "bin", "latency_ms").agg(F.count(F.lit(1)).alias("c"))
+    found = running(near, [*keys, "bin", "latency_ms"], "c").join(held, [*keys, "bin"]).where("rank > before + upto - c AND rank <= before + upto")
+    pick = lambda q, hi: F.max(F.when((F.col("q") == q) & (F.col("hi") == hi), F.col("latency_ms")))
+    ends = found.groupBy(*keys).agg(*[pick(q, hi).alias(f"{q}_{hi}") for q in QUANTILES for hi in (False, True)])
+    part = lambda q: (F.lit(QUANTILES[q]) * (F.col("timed") - 1)) % 1
+    return sums.join(ends, keys, "left").select(*keys, "n", "timed", "avg_latency", "tokens", *[F.round(F.col(f"{q}_False") + part(q) * (F.col(f"{q}_True") - F.col(f"{q}_False")), 4).alias(q) for q in QUANTILES])
 
 
 def f21_duplicates(spark, d):
@@ -285,7 +302,8 @@ def i20_delta_ci(spark, d):
     m = e1_main_metrics(spark, d).select("baseline_name", "joint_exact_match", "joint_wilson_low", "joint_wilson_high")
     a = m.where(F.col("baseline_name") == ANCHOR).select(*[F.col(c).alias(f"a_{c}") for c in m.columns[1:]])
     r = lambda x, y: F.round(F.col(x) - F.col(y), 4)
-    out = m.where(F.col("baseline_name") != ANCHOR).join(a)
+    a = a.select(F.struct("*").alias("a")).scalar()  # one row: the anchor's
+    out = m.where(F.col("baseline_name") != ANCHOR).withColumn("a", a).where("a IS NOT NULL").select("*", "a.*")
     out = out.select("baseline_name", r("a_joint_exact_match", "joint_exact_match").alias("delta"), r("a_joint_wilson_low", "joint_wilson_high").alias("low"), r("a_joint_wilson_high", "joint_wilson_low").alias("high"))
     return out.withColumn("claim", F.when(F.col("low") > 0, "supported").when(F.col("high") < 0, "unsupported").when(F.col("delta") > 0, "weak").otherwise("mixed"))
 
@@ -313,8 +331,8 @@ def f14_best_record(spark, d):
 def e29_run_plan(spark, d):
     """Calls and tokens of a run of every task under every condition and model, from the means so far."""
     m = predictions(spark, d).groupBy("baseline_name", "model_slug").agg(F.avg("prompt_tokens").alias("t"))
-    n = tasks(spark, d).agg(F.count(F.lit(1)).alias("calls"))
-    return m.join(n).select("baseline_name", "model_slug", "calls", F.round(F.col("t") * F.col("calls"), 2).alias("tokens"))
+    n = tasks(spark, d).agg(F.count(F.lit(1)).alias("calls")).scalar()
+    return m.withColumn("calls", n).select("baseline_name", "model_slug", "calls", F.round(F.col("t") * F.col("calls"), 2).alias("tokens"))
 
 
 def i19_claims(spark, d):

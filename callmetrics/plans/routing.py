@@ -90,12 +90,12 @@ def m3_hard_scores(spark, d):
 def f10_distractors(spark, d):
     """Three tools of the same domain for each tool, fewer only if the domain has fewer, in an order made by hashes.
 
-    Tools of a domain stand in 16 hashed rows; a tool's distractors are the next ones in its row, and at the row's end the
+    Tools of a domain stand in 256 hashed rows; a tool's distractors are the next ones in its row, and at the row's end the
     heads of the domain's other rows and then of its own, as if the rows were one ring. So no domain is gathered in one task
-    and no pairs of a domain are made: three heads a row, at most 48 a domain, are brought together.
+    and no pairs of a domain are made: three heads a row, at most 768 a domain, are brought together.
     """
     t = tools(spark, d, "domain").withColumns({"domain": F.coalesce(F.nullif(text.normalized_request(F.col("domain")), F.lit("")), F.lit("general")), "k": F.md5(F.concat(F.lit("9|"), "tool_id"))})
-    t = t.withColumn("row", F.substring("k", 1, 1))
+    t = t.withColumn("row", F.substring("k", 1, 2))
     w = Window.partitionBy("domain", "row").orderBy("k")
     near = F.array_compact(F.array(*[F.lead("tool_id", i).over(w) for i in (1, 2, 3)]))
     t = t.withColumns({"near": near, "i": F.row_number().over(w)})
@@ -115,13 +115,16 @@ def f7_search(spark, d):
     return search.top_k(t, q).select(F.col("query_id").alias("item_id"), F.col("id").alias("tool_id"), "score", "rank")
 
 
-def k13_line_scan(spark, d):
-    """Lines that report an error number, and whether a rejection or refusal stands within two lines of them."""
-    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(-2, 2)
-    near = F.max(F.lower("text").rlike("reject|refus").cast("int")).over(w)
-    found = lines.withColumn("near", near).where(F.col("text").rlike("error [0-9]+"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("errors"), F.sum("near").cast("long").alias("with_marker"))
+def error_lines(spark, d):
+    """Lines that report an error number, and whether a rejection or refusal stands within two lines of them.
+
+    The window of five lines is taken within the row, over the list of its lines: nothing is shuffled.
+    """
+    marks = F.transform(F.split("text", "\n"), lambda x: F.struct(x.rlike("error [0-9]+").alias("hit"), F.lower(x).rlike("reject|refus").alias("near")))
+    lines = read(spark, d, "documents").select("doc_id", marks.alias("m"))
+    around = lambda x, i: F.struct(x["hit"].alias("hit"), F.exists(F.slice("m", F.greatest(i - 1, F.lit(1)), F.least(i + 3, F.lit(5))), lambda y: y["near"]).alias("near"))
+    found = lines.select("doc_id", F.filter(F.transform("m", around), lambda x: x["hit"]).alias("f"))
+    return found.where(F.size("f") > 0).select("doc_id", F.size("f").cast("long").alias("errors"), F.size(F.filter("f", lambda x: x["near"])).cast("long").alias("with_marker"))
 
 
 def n29_progress(spark, d):
@@ -132,7 +135,7 @@ def n29_progress(spark, d):
     return done.groupBy("model_slug").agg(F.count("planned").alias("completed"), F.count_if(F.col("planned").isNull()).alias("ignored"))
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "defkmn" and k[1:2].isdigit()}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "defkmn" and k[1:2].isdigit()} | {"x_error_lines": error_lines}
 
 M = lambda x: f"round(coalesce(avg(CAST({x} AS DOUBLE)), 0) + 1e-9::DOUBLE, 4)"
 W = f"WITH {TOOLS}"
@@ -160,13 +163,13 @@ SQL = {
         FROM c JOIN an USING (id) JOIN nm n ON n.tool_id = c.tool_id JOIN nm m ON m.tool_id = an.anchor WHERE c.tool_id <> correct_tool_id AND c.tool_id <> target_tool_id)
       SELECT distractor_level, count(*) AS candidates, {M('s')} AS avg_name_similarity FROM j GROUP BY 1""",
     "f10_distractors": f"""{W}, t AS (SELECT tool_id, coalesce(nullif(trim(regexp_replace(lower(coalesce(domain, '')), '\\s+', ' ', 'g')), ''), 'general') AS domain, md5('9|' || tool_id) AS k FROM tl),
-      n AS (SELECT *, row_number() OVER (PARTITION BY domain, k[1] ORDER BY k) AS i FROM t)
-      SELECT a.tool_id, CAST(b.i - a.i - 1 AS INT) AS rank, b.tool_id AS distractor FROM n a JOIN n b ON a.domain = b.domain AND a.k[1] = b.k[1] AND b.i BETWEEN a.i + 1 AND a.i + 3 WHERE regexp_extract(a.tool_id, '([0-9]+)$', 1)::BIGINT % 20 = 0""",
+      n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY domain) AS c FROM t)
+      SELECT a.tool_id, CAST(r AS INT) AS rank, b.tool_id AS distractor FROM n a, range(3) x(r), n b WHERE a.domain = b.domain AND b.i = (a.i + r + 1) % a.c AND r + 1 < a.c""",
     "f7_search": f"""{W}, d AS (SELECT tool_id, unnest({PAIRED}) AS w FROM (SELECT tool_id, {TERMS("concat_ws(' ', tool_purpose, array_to_string(list_filter(doc_snippets, lambda x: x IS NOT NULL), ' '))")} AS t FROM tl)),
       q AS (SELECT item_id, unnest({PAIRED}) AS w FROM (SELECT item_id, {TERMS('text')} AS t FROM heldout_items)),
       s AS (SELECT item_id, tool_id, CAST(sum(CASE WHEN contains(w, ' ') THEN 4 ELSE 2 END) AS BIGINT) AS score FROM d JOIN q USING (w) GROUP BY 1, 2)
       SELECT item_id, tool_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, tool_id) AS r FROM s) WHERE r <= 3""",
-    "k13_line_scan": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
+    "x_error_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
       n AS (SELECT *, max(regexp_matches(lower(t), 'reject|refus')::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l)
       SELECT doc_id, count(*) AS errors, CAST(sum(near) AS BIGINT) AS with_marker FROM n WHERE regexp_matches(t, 'error [0-9]+') GROUP BY 1""",
     "n29_progress": "WITH p AS (SELECT DISTINCT task_id, model_slug FROM predictions) SELECT model_slug, count_if(task_id IN (SELECT source_control_id FROM routing_examples)) AS completed, count_if(NOT coalesce(task_id IN (SELECT source_control_id FROM routing_examples), false)) AS ignored FROM p GROUP BY 1",

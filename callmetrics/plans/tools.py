@@ -139,11 +139,19 @@ def f3_source_cap(spark, d):
 
 
 def f4_fraction_cap(spark, d):
-    """Of handwritten tools as many as make a tenth of the result, first by id; all others."""
-    df = tools(spark, d, "source_type").withColumn("made", F.col("source_type") == "handwritten")
-    real = df.agg(F.floor(0.1 * F.count_if(~F.col("made")) / 0.9).alias("cap"))
-    kept = df.where("made").withColumn("rank", F.row_number().over(Window.orderBy("tool_id"))).join(real).where("rank <= cap").select("tool_id", "source_type")
-    return df.where("NOT made OR made IS NULL").select("tool_id", "source_type").union(kept)
+    """Of handwritten tools as many as make a tenth of the result, first by id; all others.
+
+    Nothing is ordered as a whole: tools are counted by the beginnings of their ids, a running sum over these few rows finds
+    the beginning at the border, and only its tools are ranked.
+    """
+    df = tools(spark, d, "source_type").withColumn("made", F.coalesce(F.col("source_type") == "handwritten", F.lit(False)))
+    cap = df.agg(F.floor(0.1 * F.count_if(~F.col("made")) / 0.9).cast("long").alias("cap")).scalar()
+    mine = df.where("made").select("tool_id", "source_type", F.expr("substring(tool_id, 1, length(tool_id) - 4)").alias("begin"))
+    parts = mine.groupBy("begin").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.select("begin", (cap - F.coalesce("before", F.lit(0))).alias("room"), "n").where("room > 0")
+    whole = mine.join(parts.where("room >= n"), "begin", "left_semi").select("tool_id", "source_type")
+    border = mine.join(parts.where("room < n"), "begin").withColumn("rank", F.row_number().over(Window.partitionBy("begin").orderBy("tool_id"))).where("rank <= room").select("tool_id", "source_type")
+    return df.where("NOT made").select("tool_id", "source_type").union(whole).union(border)
 
 
 def f9_shuffled(spark, d):
@@ -176,17 +184,21 @@ def h11_slugs(spark, d):
     return tools(spark, d, "tool_name").select("tool_id", slug.alias("slug"))
 
 
+#: Labels whose means are compared with every vector; more are an error.
+MOST_LABELS = 10_000
+
+
 def m2_cosine(spark, d):
-    """Nearest labels: cosine of every vector with the mean vector of each label.
+    """The nearest label of every vector: cosine with the mean vector of each label.
 
-    The means are one small row a label (their number is the number of labels); no vector meets every other.
+    The means are one value (a scalar subquery, of a bounded number of labels); no vector meets another.
     """
     v = read(spark, d, "embeddings")
     flat = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = flat.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("s")).select(F.col("label").alias("near"), F.transform("s", lambda s: s["m"]).alias("mean"))
-    one = means.agg(F.collect_list(F.struct("near", "mean")).alias("means"))  # a single row, as a scalar subquery gives
+    one = means.agg(F.collect_list(F.struct("near", "mean")).alias("means")).select(F.when(F.size("means") > MOST_LABELS, F.raise_error(F.lit("too many labels"))).otherwise(F.col("means")).alias("means")).scalar()
     score = lambda m: F.struct(F.round(similarity.cosine(F.col("embedding"), m["mean"]), 6).alias("c"), (-m["near"]).alias("n"))
-    best = v.join(one).select("vec_id", F.array_max(F.transform("means", score)).alias("b"))
+    best = v.withColumn("means", one).select("vec_id", F.array_max(F.transform("means", score)).alias("b"))
     return best.select("vec_id", (-F.col("b.n")).alias("near"), F.col("b.c").alias("cosine"))
 
 
@@ -245,8 +257,8 @@ def d13_adjacent(spark, d):
     t = tools(spark, d, "domain").select("tool_id", typed_domain().alias("domain"))
     first = t.groupBy("domain").agg(F.min("tool_id").alias("first"))
     second = t.join(first, "domain").where("tool_id <> first").groupBy("domain").agg(F.min("tool_id").alias("second"))
-    overall = t.agg(F.min("tool_id").alias("any"))
-    j = t.join(first, "domain").join(second, "domain", "left").join(overall)
+    overall = t.agg(F.min("tool_id").alias("any")).scalar()
+    j = t.join(first, "domain").join(second, "domain", "left").withColumn("any", overall)
     return j.select("tool_id", F.coalesce(F.when(F.col("tool_id") != F.col("first"), F.col("first")).otherwise(F.col("second")), F.when(F.col("any") != F.col("tool_id"), F.col("any"))).alias("adjacent"))
 
 
@@ -294,7 +306,7 @@ ft AS (SELECT *, CASE WHEN has_object OR has_array OR num_enum > 0 OR side_effec
 CANON = f"""WITH {TOOLS}, {SCHEMAS}, tr AS (SELECT tool_id, unnest(list_transform(list_zip(t.k, t.v, t.y), lambda x: x)) AS x FROM (SELECT tool_id, (SELECT {{'k': list(fullkey ORDER BY fullkey), 'v': list(CASE WHEN type IN ('OBJECT', 'ARRAY') THEN type ELSE value::VARCHAR END ORDER BY fullkey), 'y': list(type ORDER BY fullkey)}} FROM json_tree(j)) AS t FROM sj)),
 kt AS (SELECT tool_id, list(x[1] || '=' || x[2] ORDER BY x[1]) AS c FROM tr GROUP BY 1), kj AS (SELECT tl.tool_id, tl.tool_name, coalesce(kt.c, []) AS c FROM tl LEFT JOIN kt USING (tool_id))"""
 W = f"WITH {TOOLS}"
-NAMES = f"{W}, nw AS (SELECT list_sort(list_distinct({DIST(NAME('tool_name'))})) AS w, min(tool_id) AS tool_id, count(*) AS tools FROM tl GROUP BY 1 HAVING len(w) > 0)"
+NAMES = f"{W}, nw AS (SELECT tool_id, w FROM (SELECT tool_id, list_sort(list_distinct({DIST(NAME('tool_name'))})) AS w FROM tl) WHERE len(w) > 0)"
 SQL = {
     "b1_normalized": f"{FEAT} SELECT tool_id, normalized_name, purpose[1:180] AS summary, documentation_length, array_to_string(list_transform(string_split(replace(normalized_name, '_', ' '), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title FROM ft WHERE normalized_name <> '' AND documentation_length > 0",
     "b4_complexity": f"{FEAT} SELECT tool_id, num_arguments, num_required, num_arguments - num_required AS num_optional, num_enum, has_object, has_array, has_boolean, documentation_length FROM ft",
@@ -324,7 +336,7 @@ SQL = {
     "h_tokenizers": f"{W} SELECT tool_id, len({DIST('tool_purpose')}) AS distractor, len({RETR('tool_purpose')}) AS retrieval, len(list_distinct({RETR('tool_purpose')})) AS distinct_retrieval, md5(trim(regexp_replace(regexp_replace(lower(coalesce(tool_purpose, '')), '[_./:-]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS routing_text FROM tl",
     "h11_slugs": f"{W} SELECT tool_id, CASE WHEN length(n) <= 24 THEN n ELSE n[1:15] || '_' || sha1(n)[1:8] END AS slug FROM (SELECT tool_id, {NAME('tool_name')} AS n FROM tl)",
     "m2_cosine": """WITH m AS (SELECT label AS near, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
-      c AS (SELECT vec_id, near, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS cosine FROM embeddings, m WHERE vec_id % 20 = 0) SELECT vec_id, near, cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, near) AS r FROM c) WHERE r = 1""",
+      c AS (SELECT vec_id, near, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS cosine FROM embeddings, m) SELECT vec_id, near, cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, near) AS r FROM c) WHERE r = 1""",
     "d8_similar_names": f"{NAMES} SELECT query_id, tool_id, s AS similarity FROM (SELECT a.tool_id AS query_id, b.tool_id, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 4) AS s FROM nw a, nw b WHERE a.tool_id <> b.tool_id AND regexp_extract(a.tool_id, '([0-9]+)$', 1)::BIGINT % 20 = 0) WHERE s >= 0.7",
     "n22_memory": f"""{W}, mm AS (SELECT tool_id, 'purpose' AS kind, tool_purpose AS txt FROM tl UNION ALL SELECT tool_id, 'doc', unnest(doc_snippets) FROM tl UNION ALL SELECT tool_id, 'warning', unnest(usage_warnings) FROM tl
       UNION ALL SELECT tool_id, 'argument', a.description FROM (SELECT tool_id, unnest(arguments) AS a FROM tl))
