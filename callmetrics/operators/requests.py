@@ -15,13 +15,16 @@ FORBID = (
 )
 #: Phrases that select a tool.
 SELECT = ("use {}", "using {}", "call {}", "route to {}", "select {}", "choose {}", "correct tool is {}", "right tool is {}", "{} should handle", "{} should be used")
-#: Reasons to call no tool, in the order tried. Of each list of groups, every group must have a phrase in the text.
+#: What stands before "not NAME" or after it, up to 160 characters off, in a request that forbids it.
+BEFORE, AFTER = r"\b(?:boundary\s+check|should\s+handle|correct\s+tool\s+is|route\s+to|select)\b.{0,160}\bnot\s+", r".{0,160}\b(?:should\s+handle|correct\s+tool|appropriate\s+direct\s+action)\b"
+#: Reasons to call no tool (a phrase that begins with ~ is a pattern), in the order tried. Of each list of groups, every group must have a phrase in the text.
 ABSTAIN = (
     ("explanation_instead_of_action", [["do not actually call", "do not perform the action"]]),
     ("no_tool_call_requested", [["no tool call"]]),
     ("checklist_only", [["only want a checklist"]]),
     ("ambiguous_action", [["not sure what input or action is intended"]]),
     ("missing_required_information", [["i do not know"], [" yet", "required input", "required field"]]),
+    ("missing_required_information", [[r"~\b(?:i\s+)?(?:may|might|would)?\s*need\b.+\bbut\b.+\b(?:do\s+not\s+know|don t\s+know|not\s+sure|missing|lack)\b"]]),
     ("known_path_no_search_needed", [["i already know the exact path"], ["no search or discovery is needed", "no search is needed"]]),
     ("read_vs_search_mismatch", [["read the exact item i named directly"], ["do not search", "retrieve candidates", "browse with"]]),
     ("readonly_preview_only", [["only inspect what would happen before using"], ["do not create", "do not update", "do not delete", "do not send", "do not execute", "mutate anything"]]),
@@ -36,7 +39,7 @@ ABSTAIN = (
 
 
 def any_of(text: Column, phrases) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
+    return reduce(lambda a, b: a | b, [text.rlike(p[1:]) if p.startswith("~") else text.contains(p) for p in phrases])
 
 
 def with_name(text: Column, name: Column, phrases) -> Column:
@@ -46,7 +49,11 @@ def with_name(text: Column, name: Column, phrases) -> Column:
 
 
 def forbids(request: Column, tool: Column) -> Column:
-    return with_name(routing_text(request), routing_text(tool), FORBID)
+    """A phrase that forbids the tool, or "not NAME" near words that name what should be used instead."""
+    text, name = routing_text(request), routing_text(tool)
+    quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    far = F.rlike(text, F.concat(F.lit(BEFORE), quoted, F.lit(r"\b"))) | F.rlike(text, F.concat(F.lit(r"\bnot\s+"), quoted, F.lit(r"\b"), F.lit(AFTER)))
+    return with_name(text, name, FORBID) | ((name != "") & text.contains(F.concat(F.lit("not "), name)) & far)
 
 
 def selects(request: Column, tool: Column) -> Column:

@@ -17,9 +17,8 @@ BLOCK, SLICE = 1_000, 512
 COMMON = 16
 
 
-def terms(text: Column) -> Column:
+def terms(words: Column) -> Column:
     """Distinct tokens and neighbouring pairs as 64-bit hashes; the lowest bit says that it is a pair."""
-    words = retrieval_tokens(text)
     even = lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2))
     return F.array_distinct(F.concat(F.transform(words, even), F.transform(bigrams(words), lambda x: even(x).bitwiseOR(F.lit(1)))))
 
@@ -69,7 +68,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     rows a query and partition are shuffled.
     """
     kind, qkind = dict(rows.dtypes)["id"], dict(queries.dtypes)["id"]
-    hashed = lambda df: df.where("id IS NOT NULL AND text IS NOT NULL").select("id", terms(F.col("text")).alias("t"))
+    hashed = lambda df: df.where("id IS NOT NULL AND text IS NOT NULL").select("id", retrieval_tokens(F.col("text")).alias("w")).select("id", terms(F.col("w")).alias("t"))
     listed = [(r["id"], r["t"]) for r in hashed(queries.select("id", "text").distinct()).toLocalIterator()]
     found, out = hashed(rows), rows.sparkSession.createDataFrame([], f"query_id {qkind}, id {kind}, score long")
     for lo in range(0, len(listed), BLOCK):

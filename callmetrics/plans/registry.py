@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from callmetrics.plans import nested, records, routing, tasks, tools
+from callmetrics.plans import nested, records, retrieval, routing, tasks, tools
 
-MODULES = (records, tools, tasks, routing, nested)
+MODULES = (records, tools, tasks, routing, retrieval, nested)
 
 
 def queries() -> dict:

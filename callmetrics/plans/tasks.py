@@ -205,9 +205,12 @@ RQ = f"""WITH {TASKS}, {TOOLS}, r AS (SELECT task_id, tool_id, tool_name, user_r
 ROUTE = lambda x: f"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[_./:-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 GEN = f"WITH {TOOLS}, ge AS (" + " UNION ALL ".join(f"SELECT tool_id || '-{i}' AS control_id, tool_id, tool_name, '{c}' AS category, {s} AS parity, '{x.split('{}')[0]}' || replace(tool_name, '_', ' ') || '{x.split('{}')[1]}' AS user_request FROM tl WHERE tool_name IS NOT NULL" for i, (c, s, x) in enumerate(TEMPLATES)) + ")"
 NAMED = lambda ps: "(nm <> '' AND (" + " OR ".join(f"contains(tx, '{p.split('{}')[0]}' || nm || '{p.split('{}')[1]}')" for p in ps) + "))"
-REASON = "CASE WHEN tx = '' THEN 'empty_request' " + " ".join("WHEN " + " AND ".join("(" + " OR ".join(f"contains(tx, '{p}')" for p in g) + ")" for g in gs) + f" THEN '{x}'" for x, gs in rq.ABSTAIN) + " ELSE 'none' END"
+REASON = "CASE WHEN tx = '' THEN 'empty_request' " + " ".join("WHEN " + " AND ".join("(" + " OR ".join(f"regexp_matches(tx, '{p[1:]}')" if p[0] == "~" else f"contains(tx, '{p}')" for p in g) + ")" for g in gs) + f" THEN '{x}'" for x, gs in rq.ABSTAIN) + " ELSE 'none' END"
 GOLD = f"""WITH {TASKS}, {TOOLS}, g AS (SELECT task_id, json_keys(expected_arguments) AS keys, list_transform(arguments, lambda a: a.name) AS known, list_transform(list_filter(arguments, lambda a: a.required), lambda a: a.name) AS required
   FROM ev JOIN tl ON ev.tool_id = tl.tool_id WHERE expected_arguments IS NOT NULL)"""
+FAR = f"(nm <> '' AND (regexp_matches(tx, '{rq.BEFORE}' || regexp_escape(nm) || '\\b') OR regexp_matches(tx, '\\bnot\\s+' || regexp_escape(nm) || '\\b{rq.AFTER}')))"
+FORBIDS = f"({NAMED(rq.FORBID)} OR {FAR})"
+SELECTS = f"(NOT {FORBIDS} AND {NAMED(rq.SELECT)})"
 SQL = {
     "g3_shared_requests": f"{RQ} SELECT md5(request) AS request FROM (SELECT request FROM r WHERE request <> '' AND starts_with(split, 'train') INTERSECT SELECT request FROM r WHERE request <> '' AND NOT starts_with(split, 'train'))",
     "g4_leak_rate": f"{RQ} SELECT split, count(*) AS records, count_if(request IN (SELECT request FROM r WHERE starts_with(split, 'train'))) AS leaked, round(count_if(request IN (SELECT request FROM r WHERE starts_with(split, 'train'))) / count(*), 4) AS rate FROM r WHERE request <> '' AND NOT starts_with(split, 'train') GROUP BY 1",
@@ -227,7 +230,7 @@ SQL = {
     "c8_arguments": f"{GOLD} SELECT task_id, CAST(len(keys) AS INT) AS given, CAST(len(list_filter(keys, lambda k: NOT list_contains(known, k))) AS INT) AS unlisted, CASE WHEN len(required) = 0 THEN 1 ELSE round(len(list_filter(required, lambda k: list_contains(keys, k)))::DOUBLE / len(required), 4) END AS recall FROM g WHERE len(known) > 0",
     "n11_slot_values": f"WITH {TASKS}, x AS (SELECT argument, json_extract_string(expected_arguments, '$.\"' || argument || '\"') AS value FROM (SELECT expected_arguments, unnest(json_keys(expected_arguments)) AS argument FROM ev WHERE expected_arguments IS NOT NULL)) SELECT argument, count(*) AS given, count(DISTINCT value) AS distinct_values, min(value) AS least FROM x GROUP BY 1",
     "j1_controls": f"{GEN} SELECT control_id, category, CASE WHEN parity = 0 THEN 'dev' ELSE 'test' END AS split, starts_with(category, 'positive') AS should_trigger, CASE WHEN starts_with(category, 'positive') THEN tool_name ELSE '__abstain__' END AS gold_tool, md5(user_request) AS request FROM ge",
-    "c16_boundaries": f"{GEN}, x AS (SELECT category, {ROUTE('user_request')} AS tx, {ROUTE('tool_name')} AS nm FROM ge) SELECT category, {NAMED(rq.FORBID)} AS forbids, NOT {NAMED(rq.FORBID)} AND {NAMED(rq.SELECT)} AS selects, {REASON} AS reason, count(*) AS controls FROM x GROUP BY 1, 2, 3, 4",
+    "c16_boundaries": f"{GEN}, x AS (SELECT category, {ROUTE('user_request')} AS tx, {ROUTE('tool_name')} AS nm FROM ge) SELECT category, {FORBIDS} AS forbids, {SELECTS} AS selects, {REASON} AS reason, count(*) AS controls FROM x GROUP BY 1, 2, 3, 4",
     "c18_abstentions": f"WITH {TASKS}, x AS (SELECT {ROUTE('user_request')} AS tx FROM ev) SELECT {REASON} AS reason, count(*) AS tasks FROM x GROUP BY 1",
     "a24_late_rows": "SELECT CAST(floor((epoch_us(ingested_at) - epoch_us(created_at)) / 86400000000) AS BIGINT) AS days, count(*) AS rows FROM eval_tasks GROUP BY 1",
     "c1_canonical_arguments": f"""WITH {TASKS}, c AS (SELECT '{{' || array_to_string(list_transform(list_sort(json_keys(expected_arguments)), lambda k: '"' || k || '":' || json_extract(expected_arguments, '$."' || k || '"')::VARCHAR), ',') || '}}' AS c FROM ev WHERE expected_arguments IS NOT NULL)
