@@ -1,7 +1,6 @@
 """DuckDB statements the pN_ queries of this subpackage must agree with: plain comparisons of all with all, no index, no sketch.
 
-The formatting duplicates (JSON values), the packing, the leaks (edits within a stretch) and the subjects (a fitted model) can't be
-said in SQL; they are tested against brute force and known cases.
+The packing, the leaks (edits within a stretch) and the subjects (a fitted model) can't be said in SQL; they are tested against brute force and known cases.
 """
 
 from __future__ import annotations
@@ -36,8 +35,30 @@ near AS (SELECT v, 3 AS step, levenshtein(joined, form) + dropped AS x, -length(
 best AS (SELECT v, id FROM (SELECT v, id, row_number() OVER (PARTITION BY v ORDER BY step, x, y, id) AS k FROM (SELECT * FROM hit UNION ALL SELECT * FROM near)) WHERE k = 1)"""
 
 
+LETTERS = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+#: One text for each JSON value: its paths with their leaves, in order of the paths; whole numbers without a fraction.
+LEAF = "CASE WHEN type IN ('OBJECT', 'ARRAY') THEN type WHEN type IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN 'n' || CASE WHEN atom::VARCHAR::DOUBLE = floor(atom::VARCHAR::DOUBLE) AND abs(atom::VARCHAR::DOUBLE) < 1e15 THEN atom::VARCHAR::DOUBLE::BIGINT::VARCHAR ELSE atom::VARCHAR END ELSE type || atom::VARCHAR END"
+SAME = f"""WITH tl AS (SELECT DISTINCT ON (tool_id) * FROM tools WHERE tool_id IS NOT NULL ORDER BY tool_id),
+k AS (SELECT tool_id, {LETTERS('tool_name')} AS a, {LETTERS('server_name')} AS b, {LETTERS('tool_purpose')} AS c, CASE WHEN input_schema_raw IS NULL THEN ['-'] WHEN NOT json_valid(input_schema_raw) THEN ['!', input_schema_raw]
+  ELSE (SELECT list(fullkey || '=' || {LEAF} ORDER BY fullkey) FROM json_tree(CASE WHEN json_valid(input_schema_raw) THEN input_schema_raw ELSE 'null' END)) END AS j FROM tl),
+s AS (SELECT *, min(tool_id) OVER (PARTITION BY a, b, c, j) AS keeper_id, count(*) OVER (PARTITION BY a, b, c, j) AS copies FROM k)"""
+
+
+def groups(name: str, kind: str) -> str:
+    """Classes of equal bags, links between them and the groups they make, of the near pairs ``{name}``."""
+    return f"""{name}_e AS (SELECT p.a, p.b, sum(least(x.c, y.c)) = any_value(x.n) AND any_value(x.n) = any_value(y.n) AS same FROM {name} p JOIN {name}_w x ON x.id = p.a JOIN {name}_w y ON y.id = p.b AND y.w = x.w GROUP BY 1, 2),
+{name}_b AS (SELECT * FROM {name}_e UNION ALL SELECT b, a, same FROM {name}_e),
+{name}_c AS (SELECT a AS id, least(a, coalesce(min(b) FILTER (same), a)) AS class_id FROM {name}_b GROUP BY 1),
+{name}_l AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM {name}_b p JOIN {name}_c x ON x.id = p.a JOIN {name}_c y ON y.id = p.b WHERE x.class_id <> y.class_id),
+{name}_r AS (SELECT DISTINCT class_id AS x, class_id AS y FROM {name}_c UNION SELECT x, b FROM {name}_r JOIN {name}_l ON a = y),
+{name}_g AS (SELECT '{kind}' AS kind, id, class_id, group_id, coalesce(links, 0) AS links FROM {name}_c JOIN (SELECT x AS class_id, min(y) AS group_id FROM {name}_r GROUP BY 1) USING (class_id) LEFT JOIN (SELECT a AS class_id, count(*) AS links FROM {name}_l GROUP BY 1) USING (class_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"{SAME} SELECT keeper_id, tool_id AS copy_id FROM s WHERE tool_id <> keeper_id",
+        "p1_collapsed": f"{SAME} SELECT keeper_id, copies FROM s WHERE tool_id = keeper_id",
+        "p4_groups": f"WITH RECURSIVE {REQUESTS}, {TOOLS}, {groups('rq', 'request')}, {groups('tp', 'tool')} SELECT * FROM rq_g UNION ALL SELECT * FROM tp_g",
         "p2_found": f"{CROSS} SELECT a AS task_a, b AS task_b FROM cr",
         "p2_by_split_source": f"""{CROSS}, e AS (SELECT x.task_id FROM (SELECT a AS task_id FROM cr UNION ALL SELECT b FROM cr) x JOIN side USING (task_id) WHERE NOT starts_with(split, 'train')), h AS (SELECT task_id, count(*) AS links FROM e GROUP BY 1)
           SELECT split, source, count(*) AS records, count(links) AS leaked, CAST(coalesce(sum(links), 0) AS BIGINT) AS links FROM side LEFT JOIN h USING (task_id) WHERE NOT starts_with(split, 'train') GROUP BY 1, 2""",
