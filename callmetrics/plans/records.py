@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -115,16 +116,20 @@ def i2_bootstrap(spark, d):
     return out.select("baseline_name", "n", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
+MOST_DRAWS = 13
+#: The distribution function of Poisson(1) at 0, 1, ...
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(MOST_DRAWS)]
+
+
 def i3_cluster_bootstrap(spark, d):
     """Resampling of tools: (sum, count) by tool first, then tools are drawn by hash with replacement.
 
-    A tool's number of draws in an iteration is Poisson(1) by its own hash, which needs no global count or order.
+    A tool's number of draws in an iteration is Poisson(1) by its own hash, which needs no global count or order; the 32 bits of
+    a hash can't tell more than ``MOST_DRAWS`` draws from the rest.
     """
     per = predictions(spark, d).groupBy("baseline_name", "expected_tool_name").agg(F.count(F.lit(1)).alias("n"), agg.hits("tool_selection_correct").alias("k"))
     u = stats.draw(F.coalesce("expected_tool_name", F.lit("")), F.col("baseline_name"), F.col("i").cast("string")) / 4294967296.0
-    #: The distribution function of Poisson(1) at 0 to 4.
-    cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
-    times = sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0))
+    times = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
     runs = per.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(ITERATIONS)))).withColumn("t", times)
     m = runs.groupBy("baseline_name", "i").agg(F.round(F.coalesce(F.sum(F.col("k") * F.col("t")) / F.nullif(F.sum(F.col("n") * F.col("t")), F.lit(0)), F.lit(0.0)), 4).alias("m"))
     out = m.groupBy("baseline_name").agg(F.sort_array(F.collect_list("m")).alias("m"))
@@ -392,6 +397,9 @@ COMPONENTS = H + """, co AS (SELECT baseline_name, tool_name, avg(argument_schem
   coalesce(avg((NOT triggered)::INT::DOUBLE) FILTER (NOT should_trigger), 1) AS n, coalesce(avg(required_argument_recall), 0) AS a, coalesce(avg(argument_validity), 0) AS c,
   1 - least(coalesce(avg(prompt_tokens), 0) / 1200, 1) AS s FROM pr GROUP BY ALL),
 sc AS (SELECT *, round(least(100, greatest(0, 100 * (0.2::DOUBLE * v + 0.3::DOUBLE * p + 0.3::DOUBLE * n + 0.1::DOUBLE * a + 0.05::DOUBLE * c + 0.05::DOUBLE * s))) + 1e-9::DOUBLE, 4) AS score FROM co)"""
+DRAW = lambda parts: f"('0x' || md5(concat_ws('|', {parts}))[1:8])::BIGINT"
+SCORED = lambda w: "round(least(100, greatest(0, 100 * (" + " + ".join(f"{x / sum(w.values())!r}::DOUBLE * {c}" for c, x in w.items()) + "))) + 1e-9::DOUBLE, 4)"
+MOVED = [f"{{'component': '{k}', 'factor': {f}, 'score': {SCORED({**WEIGHTS, k: WEIGHTS[k] * f})}}}" for k in WEIGHTS for f in (0.9, 1.1)]
 T_ = "(1 / (1 + 0.3275911::DOUBLE * sqrt(chi / 2)))"
 SQL = {
     "b25_normalized": f"{H} SELECT record_id, task_id, baseline_name, should_trigger, triggered, expected_tool_name, selected_tool_name, argument_schema_valid, argument_exact_match, tool_selection_correct, joint_exact_match, harmful_injection FROM pr",
@@ -427,6 +435,14 @@ SQL = {
     "e23_utility": f"{H}, u AS (SELECT baseline_name, round(4 * avg(joint_exact_match::INT) + avg(argument_validity) - 6 * avg(harmful_injection::INT), 4) AS utility FROM pr GROUP BY 1) SELECT *, CAST(rank() OVER (ORDER BY utility DESC) AS INT) AS rank FROM u",
     "b27_tokens": f"{H} SELECT CASE WHEN prompt_tokens IS NULL THEN 'unknown' WHEN prompt_tokens <= 150 THEN 'ultra_compact' WHEN prompt_tokens <= 300 THEN 'compact' WHEN prompt_tokens <= 600 THEN 'medium' WHEN prompt_tokens <= 1200 THEN 'verbose' ELSE 'very_verbose' END AS skill_token_bucket, count(*) AS n, {M('joint_exact_match')} AS joint_exact_match FROM pr GROUP BY 1",
     "f14_best_record": f"{H} SELECT task_id, baseline_name, record_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id, baseline_name ORDER BY coalesce(exact_match, false) DESC, coalesce(argument_validity, 0) DESC, coalesce(required_argument_recall, 0) DESC, coalesce(len(hallucinated_args), 0), record_id) AS k FROM pr) WHERE k = 1",
+    "i12_weight_sensitivity": f"""{COMPONENTS}, w AS (SELECT baseline_name, score AS base, unnest([{', '.join(MOVED)}]) AS m FROM sc) SELECT baseline_name, m.component, m.factor::DOUBLE AS factor, round(avg(m.score - base), 3) AS mean_change FROM w GROUP BY 1, 2, 3""",
+    "i5_randomization": f"""{PAIRS}, p AS (SELECT left_name, right_name, pairs, left_only, right_only, left_only + right_only AS n FROM pa WHERE '{ANCHOR}' IN (left_name, right_name) AND left_only + right_only > 0),
+      b AS (SELECT p.*, i, k, least(n - 32 * k, 32)::INT AS wide FROM p, range(1, {ITERATIONS} + 1) x(i), range(0, 100000) y(k) WHERE k < ceil(n / 32)),
+      s AS (SELECT left_name, right_name, pairs, n, left_only, right_only, i, sum(bit_count(({DRAW("left_name, right_name, i, k")}) >> (32 - wide))) AS plus FROM b GROUP BY ALL)
+      SELECT left_name, right_name, pairs, round((count_if(round(abs(2 * plus - n) / pairs, 4) >= round(abs(left_only - right_only) / pairs, 4)) + 1) / ({ITERATIONS} + 1), 6) AS p_value FROM s GROUP BY 1, 2, 3""",
+    "i3_cluster_bootstrap": f"""{H}, g AS (SELECT baseline_name, expected_tool_name AS t, count(*) AS n, count_if(tool_selection_correct) AS k FROM pr GROUP BY 1, 2), u AS (SELECT g.*, i, {DRAW("coalesce(t, ''), baseline_name, i")} / 4294967296.0::DOUBLE AS u FROM g, range(1, {ITERATIONS} + 1) x(i)),
+      d AS (SELECT *, {' + '.join(f"(u >= {c!r}::DOUBLE)::INT" for c in POISSON)} AS times FROM u), m AS (SELECT baseline_name, i, round(coalesce(sum(k * times) / nullif(sum(n * times), 0), 0), 4) AS m FROM d GROUP BY 1, 2), l AS (SELECT baseline_name, list(m ORDER BY m) AS m FROM m GROUP BY 1)
+      SELECT baseline_name, m[{int(0.025 * (ITERATIONS - 1)) + 1}] AS low, m[{int(0.975 * (ITERATIONS - 1)) + 1}] AS high FROM l""",
     "e29_run_plan": f"{H} SELECT baseline_name, model_slug, (SELECT count(DISTINCT task_id) FROM eval_tasks) AS calls, round(avg(prompt_tokens) * (SELECT count(DISTINCT task_id) FROM eval_tasks), 2) AS tokens FROM pr GROUP BY 1, 2",
 }
 SQL["i19_claims"] = f"""WITH m AS ({SQL['i4_mcnemar']}), x AS (SELECT CASE WHEN left_name = '{ANCHOR}' THEN right_name ELSE left_name END AS other, CASE WHEN left_name = '{ANCHOR}' THEN left_only - right_only ELSE right_only - left_only END AS net, p_value FROM m WHERE '{ANCHOR}' IN (left_name, right_name))
