@@ -327,13 +327,13 @@ def b27_tokens(spark, d):
     return df.groupBy(bucket.alias("skill_token_bucket")).agg(F.count(F.lit(1)).alias("n"), stats.mean(F.col("joint_exact_match")).alias("joint_exact_match"))
 
 
-def f14_best_record(spark, d):
+def best_record(spark, d):
     """The best record of each task and condition: exact first, then validity, recall, fewest hallucinated, smallest id."""
     key = F.struct(F.coalesce("exact_match", F.lit(False)), F.coalesce("argument_validity", F.lit(0.0)), F.coalesce("required_argument_recall", F.lit(0.0)), -F.greatest(F.coalesce(F.size("hallucinated_args"), F.lit(0)), F.lit(0)), -F.col("record_id"))
     return predictions(spark, d).groupBy("task_id", "baseline_name").agg(F.max_by("record_id", key).alias("record_id"))
 
 
-def e29_run_plan(spark, d):
+def run_plan(spark, d):
     """Calls and tokens of a run of every task under every condition and model, from the means so far."""
     m = predictions(spark, d).groupBy("baseline_name", "model_slug").agg(F.avg("prompt_tokens").alias("t"))
     n = tasks(spark, d).agg(F.count(F.lit(1)).alias("calls")).scalar()
@@ -348,7 +348,7 @@ def i19_claims(spark, d):
     return p.withColumn("claim", F.when((F.col("p_value") <= 0.05) & (F.col("net") > 0), "supported").when((F.col("p_value") <= 0.05) & (F.col("net") < 0), "unsupported").when(F.col("net") > 0, "weak").otherwise("insufficient"))
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "bdefi" and k[1:2].isdigit()}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "bdefi" and k[1:2].isdigit()} | {"x_best_record": best_record, "x_run_plan": run_plan}
 
 H = "WITH" + PREDICTIONS
 M = lambda x: f"round(coalesce(avg(CAST({x} AS DOUBLE)), 0) + 1e-9::DOUBLE, 4)"
@@ -434,7 +434,7 @@ SQL = {
       FROM m a, m b WHERE a.baseline_name = '{ANCHOR}' AND b.baseline_name <> '{ANCHOR}') SELECT *, CASE WHEN low > 0 THEN 'supported' WHEN high < 0 THEN 'unsupported' WHEN delta > 0 THEN 'weak' ELSE 'mixed' END AS claim FROM x""",
     "e23_utility": f"{H}, u AS (SELECT baseline_name, round(4 * avg(joint_exact_match::INT) + avg(argument_validity) - 6 * avg(harmful_injection::INT), 4) AS utility FROM pr GROUP BY 1) SELECT *, CAST(rank() OVER (ORDER BY utility DESC) AS INT) AS rank FROM u",
     "b27_tokens": f"{H} SELECT CASE WHEN prompt_tokens IS NULL THEN 'unknown' WHEN prompt_tokens <= 150 THEN 'ultra_compact' WHEN prompt_tokens <= 300 THEN 'compact' WHEN prompt_tokens <= 600 THEN 'medium' WHEN prompt_tokens <= 1200 THEN 'verbose' ELSE 'very_verbose' END AS skill_token_bucket, count(*) AS n, {M('joint_exact_match')} AS joint_exact_match FROM pr GROUP BY 1",
-    "f14_best_record": f"{H} SELECT task_id, baseline_name, record_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id, baseline_name ORDER BY coalesce(exact_match, false) DESC, coalesce(argument_validity, 0) DESC, coalesce(required_argument_recall, 0) DESC, coalesce(len(hallucinated_args), 0), record_id) AS k FROM pr) WHERE k = 1",
+    "x_best_record": f"{H} SELECT task_id, baseline_name, record_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id, baseline_name ORDER BY coalesce(exact_match, false) DESC, coalesce(argument_validity, 0) DESC, coalesce(required_argument_recall, 0) DESC, coalesce(len(hallucinated_args), 0), record_id) AS k FROM pr) WHERE k = 1",
     "i12_weight_sensitivity": f"""{COMPONENTS}, w AS (SELECT baseline_name, score AS base, unnest([{', '.join(MOVED)}]) AS m FROM sc) SELECT baseline_name, m.component, m.factor::DOUBLE AS factor, round(avg(m.score - base), 3) AS mean_change FROM w GROUP BY 1, 2, 3""",
     "i5_randomization": f"""{PAIRS}, p AS (SELECT left_name, right_name, pairs, left_only, right_only, left_only + right_only AS n FROM pa WHERE '{ANCHOR}' IN (left_name, right_name) AND left_only + right_only > 0),
       b AS (SELECT p.*, i, k, least(n - 32 * k, 32)::INT AS wide FROM p, range(1, {ITERATIONS} + 1) x(i), range(0, 100000) y(k) WHERE k < ceil(n / 32)),
@@ -443,7 +443,7 @@ SQL = {
     "i3_cluster_bootstrap": f"""{H}, g AS (SELECT baseline_name, expected_tool_name AS t, count(*) AS n, count_if(tool_selection_correct) AS k FROM pr GROUP BY 1, 2), u AS (SELECT g.*, i, {DRAW("coalesce(t, ''), baseline_name, i")} / 4294967296.0::DOUBLE AS u FROM g, range(1, {ITERATIONS} + 1) x(i)),
       d AS (SELECT *, {' + '.join(f"(u >= {c!r}::DOUBLE)::INT" for c in POISSON)} AS times FROM u), m AS (SELECT baseline_name, i, round(coalesce(sum(k * times) / nullif(sum(n * times), 0), 0), 4) AS m FROM d GROUP BY 1, 2), l AS (SELECT baseline_name, list(m ORDER BY m) AS m FROM m GROUP BY 1)
       SELECT baseline_name, m[{int(0.025 * (ITERATIONS - 1)) + 1}] AS low, m[{int(0.975 * (ITERATIONS - 1)) + 1}] AS high FROM l""",
-    "e29_run_plan": f"{H} SELECT baseline_name, model_slug, (SELECT count(DISTINCT task_id) FROM eval_tasks) AS calls, round(avg(prompt_tokens) * (SELECT count(DISTINCT task_id) FROM eval_tasks), 2) AS tokens FROM pr GROUP BY 1, 2",
+    "x_run_plan": f"{H} SELECT baseline_name, model_slug, (SELECT count(DISTINCT task_id) FROM eval_tasks) AS calls, round(avg(prompt_tokens) * (SELECT count(DISTINCT task_id) FROM eval_tasks), 2) AS tokens FROM pr GROUP BY 1, 2",
 }
 SQL["i19_claims"] = f"""WITH m AS ({SQL['i4_mcnemar']}), x AS (SELECT CASE WHEN left_name = '{ANCHOR}' THEN right_name ELSE left_name END AS other, CASE WHEN left_name = '{ANCHOR}' THEN left_only - right_only ELSE right_only - left_only END AS net, p_value FROM m WHERE '{ANCHOR}' IN (left_name, right_name))
   SELECT *, CASE WHEN p_value <= 0.05 AND net > 0 THEN 'supported' WHEN p_value <= 0.05 AND net < 0 THEN 'unsupported' WHEN net > 0 THEN 'weak' ELSE 'insufficient' END AS claim FROM x"""

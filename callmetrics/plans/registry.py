@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from callmetrics.plans import nested, records, retrieval, routing, summaries, tasks, tools
+from callmetrics.plans import generation, nested, records, retrieval, routing, summaries, tasks, tools
 
-MODULES = (records, tools, tasks, routing, retrieval, summaries, nested)
+MODULES = (records, tools, tasks, routing, retrieval, summaries, generation, nested)
 
 
 def queries() -> dict:

@@ -150,7 +150,7 @@ def i17_contrast_terms(spark, d):
     return n.withColumn("rank", F.row_number().over(w)).where("rank <= 8").select("domain", "kind", "rank", "term", "count")
 
 
-def n11_slot_values(spark, d):
+def slot_values(spark, d):
     """Of each argument name in gold arguments: how often it is given, its distinct values, and the least one."""
     e = tasks(spark, d, "expected_arguments").select(F.explode(F.from_json("expected_arguments", "map<string,string>")).alias("argument", "value"))
     return e.groupBy("argument").agg(F.count(F.lit(1)).alias("given"), F.countDistinct("value").alias("distinct_values"), F.min("value").alias("least"))
@@ -198,7 +198,7 @@ def late_by_day(spark, d):
     return read(spark, d, "eval_tasks").groupBy(F.floor((F.unix_micros("ingested_at") - F.unix_micros("created_at")) / 86_400_000_000).alias("days")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and (k[0] in "cdefgijn" and k[1:2].isdigit())} | {"a24_late_rows": late_by_day}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and (k[0] in "cdefgijn" and k[1:2].isdigit())} | {"x_late_rows": late_by_day, "x_slot_values": slot_values}
 
 RQ = f"""WITH {TASKS}, {TOOLS}, r AS (SELECT task_id, tool_id, tool_name, user_request, source, negative_category, lower(difficulty) AS difficulty, trim(lower(split)) AS split, coalesce(should_trigger, true) AS should_trigger,
   trim(regexp_replace(lower(coalesce(user_request, '')), '\\s+', ' ', 'g')) AS request FROM ev)"""
@@ -228,11 +228,11 @@ SQL = {
     "e11_control_stats": f"{RQ} SELECT coalesce(split, 'default') AS split, coalesce(negative_category, 'none') AS category, difficulty, count(*) AS controls, count(DISTINCT coalesce(tool_id, tool_name)) AS tools FROM r GROUP BY 1, 2, 3",
     "e12_control_summary": f"{RQ}, p AS (SELECT tool_id, count_if(should_trigger) AS p, count_if(NOT should_trigger) AS n FROM r GROUP BY 1) SELECT count(*) AS tools, min(p) AS min_positive, min(n) AS min_negative, max(p) AS max_positive, max(n) AS max_negative FROM p",
     "c8_arguments": f"{GOLD} SELECT task_id, CAST(len(keys) AS INT) AS given, CAST(len(list_filter(keys, lambda k: NOT list_contains(known, k))) AS INT) AS unlisted, CASE WHEN len(required) = 0 THEN 1 ELSE round(len(list_filter(required, lambda k: list_contains(keys, k)))::DOUBLE / len(required), 4) END AS recall FROM g WHERE len(known) > 0",
-    "n11_slot_values": f"WITH {TASKS}, x AS (SELECT argument, json_extract_string(expected_arguments, '$.\"' || argument || '\"') AS value FROM (SELECT expected_arguments, unnest(json_keys(expected_arguments)) AS argument FROM ev WHERE expected_arguments IS NOT NULL)) SELECT argument, count(*) AS given, count(DISTINCT value) AS distinct_values, min(value) AS least FROM x GROUP BY 1",
+    "x_slot_values": f"WITH {TASKS}, x AS (SELECT argument, json_extract_string(expected_arguments, '$.\"' || argument || '\"') AS value FROM (SELECT expected_arguments, unnest(json_keys(expected_arguments)) AS argument FROM ev WHERE expected_arguments IS NOT NULL)) SELECT argument, count(*) AS given, count(DISTINCT value) AS distinct_values, min(value) AS least FROM x GROUP BY 1",
     "j1_controls": f"{GEN} SELECT control_id, category, CASE WHEN parity = 0 THEN 'dev' ELSE 'test' END AS split, starts_with(category, 'positive') AS should_trigger, CASE WHEN starts_with(category, 'positive') THEN tool_name ELSE '__abstain__' END AS gold_tool, md5(user_request) AS request FROM ge",
     "c16_boundaries": f"{GEN}, x AS (SELECT category, {ROUTE('user_request')} AS tx, {ROUTE('tool_name')} AS nm FROM ge) SELECT category, {FORBIDS} AS forbids, {SELECTS} AS selects, {REASON} AS reason, count(*) AS controls FROM x GROUP BY 1, 2, 3, 4",
     "c18_abstentions": f"WITH {TASKS}, x AS (SELECT {ROUTE('user_request')} AS tx FROM ev) SELECT {REASON} AS reason, count(*) AS tasks FROM x GROUP BY 1",
-    "a24_late_rows": "SELECT CAST(floor((epoch_us(ingested_at) - epoch_us(created_at)) / 86400000000) AS BIGINT) AS days, count(*) AS rows FROM eval_tasks GROUP BY 1",
+    "x_late_rows": "SELECT CAST(floor((epoch_us(ingested_at) - epoch_us(created_at)) / 86400000000) AS BIGINT) AS days, count(*) AS rows FROM eval_tasks GROUP BY 1",
     "c1_canonical_arguments": f"""WITH {TASKS}, c AS (SELECT '{{' || array_to_string(list_transform(list_sort(json_keys(expected_arguments)), lambda k: '"' || k || '":' || json_extract(expected_arguments, '$."' || k || '"')::VARCHAR), ',') || '}}' AS c FROM ev WHERE expected_arguments IS NOT NULL)
       SELECT md5(c) AS arguments, count(*) AS tasks FROM c GROUP BY 1""",
     "i17_contrast_terms": f"""{RQ}, t AS (SELECT tool_id, coalesce(nullif(trim(regexp_replace(lower(coalesce(domain, '')), '\\s+', ' ', 'g')), ''), 'general') AS domain FROM tl),

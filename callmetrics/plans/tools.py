@@ -242,7 +242,7 @@ def d8_similar_names(spark, d):
     return links.join(queries, "query_class").join(members, "class").where("query_id <> tool_id").select("query_id", "tool_id", "similarity")
 
 
-def n22_memory(spark, d):
+def memory_kinds(spark, d):
     """The retrieval corpus: a row for each purpose, snippet, warning and argument description, by kind."""
     t = tools(spark, d, "tool_purpose", "doc_snippets", "usage_warnings", "arguments")
     none = F.array().cast("array<string>")
@@ -262,18 +262,18 @@ def d13_adjacent(spark, d):
     return j.select("tool_id", F.coalesce(F.when(F.col("tool_id") != F.col("first"), F.col("first")).otherwise(F.col("second")), F.when(F.col("any") != F.col("tool_id"), F.col("any"))).alias("adjacent"))
 
 
-def e25_source_summary(spark, d):
+def source_summary(spark, d):
     """Tools, servers and the kinds of side effect of each source type."""
     return featured(spark, d).groupBy("source_type").agg(F.count(F.lit(1)).alias("tools"), F.countDistinct("server_name").alias("servers"), F.array_join(F.sort_array(F.collect_set("side_effect_type")), ",").alias("effects"))
 
 
-def e18_warnings(spark, d):
+def warnings_given(spark, d):
     """How often each usage warning is given, the number of arguments in its text left out."""
     t = tools(spark, d, "usage_warnings").select("tool_id", F.explode("usage_warnings").alias("w")).where("w IS NOT NULL")
     return t.groupBy(F.regexp_replace("w", "[0-9]+", "#").alias("warning")).agg(F.count(F.lit(1)).alias("times"), F.countDistinct("tool_id").alias("tools"))
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and (k[0] in "bcdefhmn" and k[1:2].isdigit() or k.startswith("h_"))}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and (k[0] in "bcdefhmn" and k[1:2].isdigit() or k.startswith("h_"))} | {"x_warnings": warnings_given, "x_sources": source_summary, "x_memory_kinds": memory_kinds}
 
 M = lambda x: f"round(coalesce(avg(CAST({x} AS DOUBLE)), 0) + 1e-9::DOUBLE, 4)"
 MARK = lambda ms, t="txt": "(" + " OR ".join([f"regexp_matches({t}, '(^|[^a-z0-9])({'|'.join(m for m in ms if ' ' not in m)})([^a-z0-9]|$)')"] + [f"contains({t}, '{m}')" for m in ms if " " in m]) + ")"
@@ -338,10 +338,10 @@ SQL = {
     "m2_cosine": """WITH m AS (SELECT label AS near, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
       c AS (SELECT vec_id, near, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS cosine FROM embeddings, m) SELECT vec_id, near, cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, near) AS r FROM c) WHERE r = 1""",
     "d8_similar_names": f"{NAMES} SELECT query_id, tool_id, s AS similarity FROM (SELECT a.tool_id AS query_id, b.tool_id, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 4) AS s FROM nw a, nw b WHERE a.tool_id <> b.tool_id AND regexp_extract(a.tool_id, '([0-9]+)$', 1)::BIGINT % 20 = 0) WHERE s >= 0.7",
-    "n22_memory": f"""{W}, mm AS (SELECT tool_id, 'purpose' AS kind, tool_purpose AS txt FROM tl UNION ALL SELECT tool_id, 'doc', unnest(doc_snippets) FROM tl UNION ALL SELECT tool_id, 'warning', unnest(usage_warnings) FROM tl
+    "x_memory_kinds": f"""{W}, mm AS (SELECT tool_id, 'purpose' AS kind, tool_purpose AS txt FROM tl UNION ALL SELECT tool_id, 'doc', unnest(doc_snippets) FROM tl UNION ALL SELECT tool_id, 'warning', unnest(usage_warnings) FROM tl
       UNION ALL SELECT tool_id, 'argument', a.description FROM (SELECT tool_id, unnest(arguments) AS a FROM tl))
       SELECT kind, count(*) AS rows, count(DISTINCT tool_id) AS tools, CAST(sum(len(list_filter(regexp_split_to_array(txt, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS words FROM mm WHERE trim(txt) <> '' GROUP BY 1""",
     "d13_adjacent": f"{FEAT} SELECT a.tool_id, coalesce((SELECT min(b.tool_id) FROM ft b WHERE b.typed_domain = a.typed_domain AND b.tool_id <> a.tool_id), (SELECT CASE WHEN min(b.tool_id) <> a.tool_id THEN min(b.tool_id) END FROM ft b)) AS adjacent FROM ft a",
-    "e25_source_summary": f"{FEAT} SELECT source_type, count(*) AS tools, count(DISTINCT server_name) AS servers, array_to_string(list_sort(list(DISTINCT side_effect_type)), ',') AS effects FROM ft GROUP BY 1",
-    "e18_warnings": f"{W} SELECT regexp_replace(w, '[0-9]+', '#', 'g') AS warning, count(*) AS times, count(DISTINCT tool_id) AS tools FROM (SELECT tool_id, unnest(usage_warnings) AS w FROM tl) WHERE w IS NOT NULL GROUP BY 1",
+    "x_sources": f"{FEAT} SELECT source_type, count(*) AS tools, count(DISTINCT server_name) AS servers, array_to_string(list_sort(list(DISTINCT side_effect_type)), ',') AS effects FROM ft GROUP BY 1",
+    "x_warnings": f"{W} SELECT regexp_replace(w, '[0-9]+', '#', 'g') AS warning, count(*) AS times, count(DISTINCT tool_id) AS tools FROM (SELECT tool_id, unnest(usage_warnings) AS w FROM tl) WHERE w IS NOT NULL GROUP BY 1",
 }

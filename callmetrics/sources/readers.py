@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import ast
+import fnmatch
 import json
 import re
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Members that may hold the list of a JSON document, in the order tried.
-WRAPPERS = ("data", "items", "tools")
+WRAPPERS = ("data", "items", "tools", "records", "examples", "tasks", "controls", "results", "functions", "apis")
 
 
 def read_jsonl(spark: SparkSession, path, schema: str, strict: bool = True) -> DataFrame:
@@ -82,13 +82,68 @@ def read_csv(spark: SparkSession, path) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
 
 
-def preferred_paths(root: str, filename: str) -> list[str]:
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, on whatever file system they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(str(x.getPath().toString()) for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
+def below(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """Files below a folder whose names match a pattern, at any depth."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, out = fs.listFiles(path, True), []
+    while fs.exists(path) and files.hasNext():
+        p = files.next().getPath()
+        if fnmatch.fnmatch(p.getName(), pattern):
+            out.append(str(p.toString()))
+    return sorted(out)
+
+
+def preferred_paths(spark: SparkSession, root: str, filename: str) -> list[str]:
     """The file in the root, else in ``merged``, else each predictor's merged one, else wherever it is below the root."""
-    base = Path(root)
-    for found in ([base / filename], [base / "merged" / filename], sorted(base.glob(f"predictors/*/merged/{filename}"))):
-        if kept := [str(p) for p in found if p.exists()]:
-            return kept
-    return sorted(map(str, base.rglob(filename)))
+    for pattern in (filename, f"merged/{filename}", f"predictors/*/merged/{filename}"):
+        if found := listed(spark, f"{root}/{pattern}"):
+            return found
+    return below(spark, root, filename)
+
+
+STREAMS = {"benchmark": "prediction_records.jsonl", "routing": "routing_records.jsonl", "reliability": "reliability_records.jsonl"}
+
+
+def read_run(spark: SparkSession, root: str) -> DataFrame:
+    """The record streams of a run as one relation: record_type and ``item`` (variant).
+
+    Three streams have a file name each, at their preferred paths; all other JSON lines named after behaviour or controls are
+    the fourth. Blank lines and lines that are no objects are dropped; a run without files gives no row.
+    """
+    paths = {kind: preferred_paths(spark, root, name) for kind, name in STREAMS.items()}
+    paths["behavior"] = [p for p in below(spark, root, "*.jsonl") if (name := p.rsplit("/", 1)[-1].lower()) not in STREAMS.values() and ("behavior" in name or "control" in name)]
+    out = spark.createDataFrame([], "record_type string, value string")
+    for kind, found in paths.items():
+        if found:
+            out = out.unionByName(spark.read.text(found).select(F.lit(kind).alias("record_type"), "value"))
+    return out.select("record_type", F.try_parse_json("value").alias("item")).where(F.schema_of_variant("item").startswith("OBJECT"))
+
+
+def merged(base: dict, over: dict) -> dict:
+    """A configuration with another laid over it: objects are merged member by member, everything else is replaced."""
+    out = dict(base)
+    for k, v in over.items():
+        out[k] = merged(out[k], v) if isinstance(out.get(k), dict) and isinstance(v, dict) else v
+    return out
+
+
+def read_config(text: str, base: dict | None = None, required: dict[str, type] | None = None) -> dict:
+    """A JSON configuration over its defaults; a required member (its path with dots) that is missing or of another type is an error."""
+    out = merged(base or {}, json.loads(text))
+    for path, kind in (required or {}).items():
+        at = out
+        for k in path.split("."):
+            at = at.get(k) if isinstance(at, dict) else None
+        if not isinstance(at, kind) or (isinstance(at, bool) and kind is not bool):
+            raise ValueError(f"configuration: {path} must be {kind.__name__}")
+    return out
 
 
 SHARD_KEY = ["model_slug", "task_id", "tool_name", "baseline_name"]

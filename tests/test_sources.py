@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from callmetrics.sources import readers, sinks
+from callmetrics.operators import calls
+from callmetrics.sources import readers, schemas, sinks
 
 
 def put(path, text):
@@ -65,13 +66,13 @@ def test_jsonl_sink_is_sorted_and_appends(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ['{"a":{"x":1,"y":2},"b":1}'] * 2
 
 
-def test_preferred_paths(tmp_path):
+def test_preferred_paths(spark, tmp_path):
     put(tmp_path / "deep/er/r.jsonl", "")
-    assert readers.preferred_paths(str(tmp_path), "r.jsonl") == [str(tmp_path / "deep/er/r.jsonl")]
+    assert readers.preferred_paths(spark, str(tmp_path), "r.jsonl") == [f"file:{tmp_path}/deep/er/r.jsonl"]
     put(tmp_path / "predictors/m/merged/r.jsonl", "")
-    assert readers.preferred_paths(str(tmp_path), "r.jsonl") == [str(tmp_path / "predictors/m/merged/r.jsonl")]
+    assert readers.preferred_paths(spark, str(tmp_path), "r.jsonl") == [f"file:{tmp_path}/predictors/m/merged/r.jsonl"]
     put(tmp_path / "merged/r.jsonl", "")
-    assert readers.preferred_paths(str(tmp_path), "r.jsonl") == [str(tmp_path / "merged/r.jsonl")]
+    assert readers.preferred_paths(spark, str(tmp_path), "r.jsonl") == [f"file:{tmp_path}/merged/r.jsonl"]
 
 
 def test_shard_recovery(spark, tmp_path):
@@ -113,3 +114,64 @@ def test_reports(spark):
     df = spark.createDataFrame([("a_b|c", None)], "x string, y int")
     assert sinks.markdown(df) == "| x | y |\n| --- | --- |\n| a_b\\|c |  |\n"
     assert "a\\_b|c &  \\\\\n" in sinks.latex(df)
+
+
+def test_run_streams(spark, tmp_path):
+    put(tmp_path / "merged/prediction_records.jsonl", '{"a": 1}\n\n[1]\n{"a": 2}\n')
+    put(tmp_path / "predictors/m/prediction_records.jsonl", '{"a": 3}\n')
+    put(tmp_path / "x/routing_records.jsonl", '{"b": 1}\n')
+    put(tmp_path / "x/behavior_log.jsonl", '{"c": 1}\n{broken\n')
+    got = readers.read_run(spark, str(tmp_path)).groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in got} == {"benchmark": 2, "routing": 1, "behavior": 1}
+
+
+def test_config():
+    base = {"a": {"x": 1, "y": 2}, "n": 3}
+    assert readers.read_config('{"a": {"y": 5}, "m": true}', base, {"a.x": int, "m": bool}) == {"a": {"x": 1, "y": 5}, "n": 3, "m": True}
+    with pytest.raises(ValueError, match="a.z"):
+        readers.read_config("{}", base, {"a.z": int})
+
+
+def test_reports_are_whole_or_an_error(spark):
+    df = spark.range(5)
+    assert sinks.markdown(df).count("\n") == 7
+    with pytest.raises(ValueError):
+        sinks.markdown(df, most=4)
+    out = sinks.pdf(spark.range(130))
+    assert out.startswith(b"%PDF-") and b"/Count 3" in out and out.count(b" Tj T*") == 131
+    assert "5 records." in sinks.dataset_card(df, "x", ["id"])
+
+
+def test_normalised_schemas(spark):
+    text = json.dumps({"parameters": {"type": "dict", "properties": [{"name": "a", "type": "int"}, {"parameter_name": "b", "type": ["null", "str"], "enum": "x | y"}, "Some Text"], "required": ["a", "gone"], "odd": 1}})
+    got = schemas.normalized(text)
+    assert got["type"] == "object" and got["required"] == ["a"]
+    assert got["properties"]["a"] == {"name": "a", "type": "integer"} or got["properties"]["a"]["type"] == "integer"
+    assert got["properties"]["b"]["type"] == "string" and got["properties"]["b"]["enum"] == ["x", "y"] and got["properties"]["b"]["nullable"] and "some_text" in got["properties"]
+    assert schemas.normalized(None) == schemas.normalized("{broken") == schemas.EMPTY
+    sig = schemas.of_signature("f(self, a, b: int = g(1, 2), *args, c='x, y', d)")
+    assert list(sig["properties"]) == ["a", "b", "c", "d"] and sig["required"] == ["a", "d"]
+    assert schemas.of_signature("nothing")["properties"] == {}
+
+
+def test_converters(spark, tmp_path):
+    bfcl = put(tmp_path / "b.json", json.dumps([{"id": "1", "question": [[{"role": "user", "content": "area?"}]], "function": [{"name": "area", "description": "d", "parameters": {"type": "dict", "properties": {"r": {"type": "float"}}, "required": ["r"]}}], "ground_truth": {"r": [1]}}]))
+    r = schemas.read_functions(spark, bfcl).first()
+    assert (r.tool_name, r.user_request, r.gold_arguments) == ("area", "area?", '{"r":[1]}') and json.loads(r.input_schema)["properties"]["r"]["type"] == "number"
+    bank = put(tmp_path / "a.json", json.dumps([{"name": "Add", "description": "adds", "input_parameters": {"x": {"type": "int"}}}, {"api_name": "Add", "input": "add one", "param_dict": {"x": 1}}, {"api_name": "Gone", "input": "nothing", "param_dict": {}}]))
+    assert [(r.tool_name, r.user_request, r.gold_arguments) for r in schemas.read_api_bank(spark, bank).collect()] == [("Add", "add one", '{"x":1}')]
+    bench = put(tmp_path / "t.json", json.dumps([{"query": "find it", "api_list": [{"api_name": "find", "api_description": "f", "required_parameters": [{"name": "q", "type": "STRING"}], "optional_parameters": [{"name": "n", "type": "NUMBER"}]}, {"api_name": "other"}], "relevant APIs": [["x", "find"]]}]))
+    r = schemas.read_tool_bench(spark, bench).first()
+    assert schemas.read_tool_bench(spark, bench).count() == 1 and json.loads(r.input_schema)["required"] == ["q"] and set(json.loads(r.input_schema)["properties"]) == {"q", "n"}
+
+
+def test_nested_records(spark):
+    rows = [json.dumps(x) for x in (
+        {"condition": "c", "tool_name": "t", "reliability_score": {"features": {"token_overhead_estimate": 7}}, "behavior_report": {"results": [{"case_id": "1", "triggered": True}, 3, {"task_id": "2", "tool_name": "own"}]}}, {"condition": "none"},
+        {"latency_ms": "bad", "prediction_metadata": {"latency_ms": 4}}, {"prediction_metadata": {"latency_ms": 4}}, {"predicted_arguments": {}, "argument_parse_ok": True}, {"predicted_arguments": [], "error": None}, {"should_trigger": False, "triggered": False})]
+    df = spark.createDataFrame([(x,) for x in rows], "j string").select(F.parse_json("j").alias("item"))
+    flat = {(r.baseline_name, r.tool_name, r.task_id, r.token_overhead_estimate) for r in calls.flattened(df).collect()}
+    assert flat == {("c", "t", "1", 7.0), ("c", "own", "2", 7.0)}
+    v = F.col("item")
+    assert [r[0] for r in df.select(calls.first_present(v, calls.LATENCY)).collect()] == [None, None, None, 4.0, None, None, None]
+    assert [r[0] for r in df.select(calls.parse_ok(v)).collect()] == [False, False, False, False, True, False, True]
