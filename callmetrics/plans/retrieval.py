@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callmetrics.functions import stats, text
+from callmetrics.operators import learners
 from callmetrics.operators import requests as rq
 from callmetrics.operators import routing as ro
 from callmetrics.operators import tool_features as tf
@@ -165,6 +166,33 @@ def i16_features(spark, d) -> DataFrame:
     return p.select("id", "tool_id", *[F.round(F.col(k), 6).alias(k) for k in feature_columns() if k != "bias"], F.round(raw, 6).alias("raw_score"), F.round(risk, 6).alias("risk"))
 
 
+def n9_thresholds(spark, d):
+    """Thresholds of a router from the means of right and wrong candidates' scores: half their distance within [0, 10], a tenth of it as the margin."""
+    gold = read(spark, d, "routing_examples").select("id", "correct_tool_id")
+    s = i16_features(spark, d).join(gold, "id").withColumn("gold", F.col("tool_id") == F.col("correct_tool_id"))
+    g = s.agg(F.avg(F.when(F.col("gold"), F.col("raw_score"))).alias("right"), F.avg(F.when(~F.col("gold"), F.col("raw_score"))).alias("wrong"))
+    far = F.col("right") - F.col("wrong")
+    return g.select(F.round("right", 4).alias("mean_right"), F.round("wrong", 4).alias("mean_wrong"), F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.0), far * 0.5)), 4).alias("threshold"), F.round(F.least(F.lit(2.0), F.greatest(F.lit(0.1), far * 0.1)), 4).alias("margin"))
+
+
+def training_rows(spark, d) -> DataFrame:
+    """(tool_id, id, label, features in order): at most ``learners.MOST_ROWS`` rows a tool and ``MOST_ALL`` in all, by hash."""
+    gold = read(spark, d, "routing_examples").select("id", "correct_tool_id")
+    names = list(feature_columns())
+    f = i16_features(spark, d).withColumn("bias", F.lit(1.0)).join(gold, "id")
+    return f.select("tool_id", "id", F.when(F.col("tool_id") == F.col("correct_tool_id"), 1.0).otherwise(-1.0).alias("label"), F.array(*names).alias("x"), F.md5(F.concat_ws("|", "tool_id", "id")).alias("k"))
+
+
+def i13_router_weights(spark, d):
+    """Weights of a margin perceptron over a bounded sample of candidates, in order of their hashes: start, trained, and trained again on what it got wrong."""
+    return learners.global_policy(training_rows(spark, d), WEIGHTS)
+
+
+def i15_tool_policies(spark, d):
+    """The same for each tool that has a right and a wrong row, over at most ``learners.MOST_ROWS`` rows a tool."""
+    return learners.tool_policies(training_rows(spark, d), WEIGHTS)
+
+
 def m11_overlaps(spark, d):
     """Mean normalised overlaps of the right candidate and of the others."""
     gold = read(spark, d, "routing_examples").select("id", "correct_tool_id")
@@ -320,6 +348,7 @@ SQL = {k: f"WITH {TASKS}, x AS (SELECT task_id, list_sort({f('user_request')}) A
       b AS (SELECT id, tool_id, CAST(sum(score) AS BIGINT) AS score, max(score) AS best_score, md5(arg_max(x, (score, -place))) AS best_text FROM s WHERE score > 0 GROUP BY 1, 2) {TOP('SELECT * FROM b', 'tool_id', 3)}""",
     "c21_conflicts": f"{ACTED} SELECT ac AS action_conflict, rw AS read_write_conflict, count(*) AS pairs, count(DISTINCT id) AS examples FROM p GROUP BY 1, 2",
     "i16_features": acted_sql(),
+    "n9_thresholds": f"WITH f AS ({acted_sql()}), g AS (SELECT avg(raw_score) FILTER (tool_id = correct_tool_id) AS r, avg(raw_score) FILTER (tool_id <> correct_tool_id) AS w FROM f JOIN routing_examples USING (id)) SELECT round(r, 4) AS mean_right, round(w, 4) AS mean_wrong, round(least(10, greatest(0, (r - w) * 0.5::DOUBLE)), 4) AS threshold, round(least(2, greatest(0.1::DOUBLE, (r - w) * 0.1::DOUBLE)), 4) AS margin FROM g",
     "m11_overlaps": f"{ACTED} SELECT tool_id = correct_tool_id AS gold, count(*) AS pairs, " + ", ".join(f"round(coalesce(avg(({NO('m', c)})::DOUBLE), 0) + 1e-9::DOUBLE, 4) AS {k}" for k, c in (("name", "nt"), ("purpose", "pt"), ("argument", "gt"))) + " FROM p JOIN routing_examples USING (id) GROUP BY 1",
     "f26_hard_negatives": f"{ACTED} SELECT id, tool_id, score, rank FROM ({TOP(f'SELECT p.id, tool_id, name, {BOTH("m", "list_concat(nt, pt, gt)")} + ac::INT AS score FROM p JOIN routing_examples r USING (id) WHERE tool_id <> correct_tool_id AND {BOTH("m", "list_concat(nt, pt, gt)")} + ac::INT > 0', 'name, tool_id', 5)})",
     "c19_triggers": f"""{BASE}, qb AS (SELECT task_id, low, {BEH('user_request')} AS b FROM q), t AS (SELECT tool_id, {LOW('tool_name')} AS name, coalesce(list_transform(arguments, lambda a: lower(a.name)), []) AS args, {BEH(f"replace(coalesce(tool_name, ''), '_', ' ') || ' ' || coalesce(tool_purpose, '') || ' ' || {ARGUED}")} AS g,

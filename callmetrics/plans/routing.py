@@ -68,23 +68,53 @@ def opposed(a, b, ea, eb):
     return out
 
 
-def m3_hard_scores(spark, d):
-    """Relation and score of candidates with their anchor, by level: names, texts, arguments, domain, effect, opposite verbs."""
+def hard_scores(spark, d):
+    """Relation and score of each candidate with its example's anchor: names, texts, arguments, domain, effect, opposite verbs."""
     t = tf.features(tools(spark, d, *SOURCE))
     tokens = lambda *c: F.array_distinct(text.distractor_tokens(F.concat_ws(" ", *c)))
     f = t.select("tool_id", F.struct(
         tokens("tool_name").alias("name"), tokens("tool_name", "tool_purpose").alias("text"), F.coalesce(F.array_distinct("arguments.name"), F.array().cast("array<string>")).alias("args"),
         F.coalesce(F.lower("domain"), F.lit("")).alias("domain"), F.col("side_effect_type").alias("effect"),
     ).alias("f"))
-    c = examples(spark, d).join(d7_anchors(spark, d), "id").select("distractor_level", "anchor", "correct_tool_id", "target_tool_id", F.explode("candidate_tool_ids").alias("tool_id"))
+    c = examples(spark, d).join(d7_anchors(spark, d), "id").select("id", "distractor_level", "anchor", "correct_tool_id", "target_tool_id", F.explode("candidate_tool_ids").alias("tool_id"))
     c = c.where("tool_id <> correct_tool_id AND tool_id <> target_tool_id").join(f.withColumnRenamed("f", "b"), "tool_id").join(f.select(F.col("tool_id").alias("anchor"), F.col("f").alias("a")), "anchor")
     sim = lambda k: similarity.jaccard(F.col(f"a.{k}"), F.col(f"b.{k}"))
     same = lambda k: F.col(f"a.{k}") == F.col(f"b.{k}")
-    c = c.select("distractor_level", sim("name").alias("n"), sim("text").alias("t"), sim("args").alias("g"), same("domain").alias("d"), same("effect").alias("e"), opposed(F.col("a.text"), F.col("b.text"), F.col("a.effect"), F.col("b.effect")).alias("o"))
+    c = c.select("id", "tool_id", "distractor_level", sim("name").alias("n"), sim("text").alias("t"), sim("args").alias("g"), same("domain").alias("d"), same("effect").alias("e"), opposed(F.col("a.text"), F.col("b.text"), F.col("a.effect"), F.col("b.effect")).alias("o"))
     score = 3 * F.col("n") + 2 * F.col("t") + 2 * F.col("g") + F.col("d").cast("double") + 0.5 * F.col("e").cast("double") + 1.5 * F.col("o").cast("double")
     near = (F.col("n") >= 0.35) | (F.col("g") >= 0.35) | (F.col("d") & (F.col("t") >= 0.25))
     relation = F.when(F.col("o"), "opposite_action").when(near, "near_miss").when(F.col("d"), "same_domain").otherwise("different_domain")
-    return c.groupBy("distractor_level", relation.alias("relation")).agg(F.count(F.lit(1)).alias("candidates"), stats.mean(score).alias("avg_hard_score"))
+    return c.select("id", "tool_id", "distractor_level", relation.alias("relation"), F.col("d").alias("same_domain"), score.alias("score"))
+
+
+def m3_hard_scores(spark, d):
+    """Candidates by level and relation with their anchor, and the mean score."""
+    return hard_scores(spark, d).groupBy("distractor_level", "relation").agg(F.count(F.lit(1)).alias("candidates"), stats.mean(F.col("score")).alias("avg_hard_score"))
+
+
+def jitter():
+    """A number for ties that depends on nothing but the ids."""
+    return F.md5(F.concat_ws("|", F.lit("17"), "id", "tool_id"))
+
+
+def f8_jittered(spark, d):
+    """The three candidates of each example of the highest score, ties in an order made by hashes."""
+    s = hard_scores(spark, d).distinct().withColumn("score", F.round(F.col("score") + stats.TIE, 6))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), jitter(), "tool_id"))).where("rank <= 3").select("id", "tool_id", "score", "rank")
+
+
+def f10_levels(spark, d):
+    """Three distractors of each level for each example out of its candidates: those the level is for first, then others by score.
+
+    Easy: of another domain, in hashed order; medium: of the same domain and no near miss; hard: of any score above 0; adversarial:
+    near misses and opposite actions.
+    """
+    s = hard_scores(spark, d).distinct().withColumn("score", F.round(F.col("score") + stats.TIE, 6))
+    fits = {"easy": ~F.col("same_domain"), "medium": F.col("same_domain") & (F.col("relation") != "near_miss"), "hard": F.col("score") > 0, "adversarial": F.col("relation").isin("near_miss", "opposite_action")}
+    s = s.select("id", "tool_id", "score", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("fits")) for k, c in fits.items()])).alias("l")).select("id", "tool_id", "score", "l.*")
+    by_score = F.when((F.col("level") == "easy") & F.col("fits"), 0.0).otherwise(F.col("score"))
+    w = Window.partitionBy("id", "level").orderBy(F.desc("fits"), by_score.desc(), jitter(), "tool_id")
+    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("id", "level", "tool_id", (~F.col("fits")).alias("fallback"), "rank")
 
 
 def f10_distractors(spark, d):
@@ -145,13 +175,17 @@ TERMS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9_./*?-]+')"  # noqa:
 PAIRED = "list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))"
 LJ = lambda k: f"CASE WHEN len(list_distinct(list_concat(a.{k}, b.{k}))) = 0 THEN 0 ELSE len(list_intersect(a.{k}, b.{k}))::DOUBLE / len(list_distinct(list_concat(a.{k}, b.{k}))) END"
 OPPOSED = "((a.effect = 'read' AND b.effect IN ('write', 'delete', 'execute', 'external_communication')) OR (b.effect = 'read' AND a.effect IN ('write', 'delete', 'execute', 'external_communication')) OR " + " OR ".join(f"(list_contains(a.text, '{x}') AND list_contains(b.text, '{y}')) OR (list_contains(a.text, '{y}') AND list_contains(b.text, '{x}'))" for x, y in OPPOSITE) + ")"
+HARD = f"""{FEAT}, an AS (SELECT id, coalesce(c.tool_id, t.tool_id) AS anchor FROM routing_examples r LEFT JOIN tl c ON c.tool_id = r.correct_tool_id LEFT JOIN tl t ON t.tool_id = r.target_tool_id WHERE coalesce(c.tool_id, t.tool_id) IS NOT NULL),
+  fx AS (SELECT tool_id, {DIST('tool_name')} AS name, {DIST("concat_ws(' ', tool_name, tool_purpose)")} AS text, coalesce(list_distinct(list_transform(arguments, lambda a: a.name)), []) AS args, coalesce(lower(domain), '') AS domain, side_effect_type AS effect FROM ft),
+  c AS (SELECT id, distractor_level, correct_tool_id, target_tool_id, unnest(candidate_tool_ids) AS tool_id FROM routing_examples),
+  p AS (SELECT c.id, c.tool_id, distractor_level, {LJ('name')} AS n, {LJ('text')} AS t, {LJ('args')} AS g, a.domain = b.domain AS d, a.effect = b.effect AS e, {OPPOSED} AS o FROM c JOIN an USING (id) JOIN fx a ON a.tool_id = anchor JOIN fx b ON b.tool_id = c.tool_id WHERE c.tool_id <> correct_tool_id AND c.tool_id <> target_tool_id),
+  h AS (SELECT id, tool_id, distractor_level, d, CASE WHEN o THEN 'opposite_action' WHEN n >= 0.35 OR g >= 0.35 OR (d AND t >= 0.25) THEN 'near_miss' WHEN d THEN 'same_domain' ELSE 'different_domain' END AS relation, 3 * n + 2 * t + 2 * g + d::INT + 0.5::DOUBLE * e::INT + 1.5::DOUBLE * o::INT AS score FROM p)"""
+JITTER = "j AS (SELECT DISTINCT id, tool_id, d, relation, round(score + 1e-9::DOUBLE, 6) AS score, md5('17|' || id || '|' || tool_id) AS k FROM h)"
 SQL = {
-    "m3_hard_scores": f"""{FEAT}, an AS (SELECT id, coalesce(c.tool_id, t.tool_id) AS anchor FROM routing_examples r LEFT JOIN tl c ON c.tool_id = r.correct_tool_id LEFT JOIN tl t ON t.tool_id = r.target_tool_id WHERE coalesce(c.tool_id, t.tool_id) IS NOT NULL),
-      fx AS (SELECT tool_id, {DIST('tool_name')} AS name, {DIST("concat_ws(' ', tool_name, tool_purpose)")} AS text, coalesce(list_distinct(list_transform(arguments, lambda a: a.name)), []) AS args, coalesce(lower(domain), '') AS domain, side_effect_type AS effect FROM ft),
-      c AS (SELECT id, distractor_level, correct_tool_id, target_tool_id, unnest(candidate_tool_ids) AS tool_id FROM routing_examples),
-      p AS (SELECT distractor_level, {LJ('name')} AS n, {LJ('text')} AS t, {LJ('args')} AS g, a.domain = b.domain AS d, a.effect = b.effect AS e, {OPPOSED} AS o FROM c JOIN an USING (id) JOIN fx a ON a.tool_id = anchor JOIN fx b ON b.tool_id = c.tool_id WHERE c.tool_id <> correct_tool_id AND c.tool_id <> target_tool_id)
-      SELECT distractor_level, CASE WHEN o THEN 'opposite_action' WHEN n >= 0.35 OR g >= 0.35 OR (d AND t >= 0.25) THEN 'near_miss' WHEN d THEN 'same_domain' ELSE 'different_domain' END AS relation, count(*) AS candidates,
-      {M('3 * n + 2 * t + 2 * g + d::INT + 0.5::DOUBLE * e::INT + 1.5::DOUBLE * o::INT')} AS avg_hard_score FROM p GROUP BY 1, 2""",
+    "m3_hard_scores": f"{HARD} SELECT distractor_level, relation, count(*) AS candidates, {M('score')} AS avg_hard_score FROM h GROUP BY 1, 2",
+    "f8_jittered": f"{HARD}, {JITTER} SELECT id, tool_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k, tool_id) AS r FROM j) WHERE r <= 3",
+    "f10_levels": f"""{HARD}, {JITTER}, l AS (SELECT *, 'easy' AS level, NOT d AS fits FROM j UNION ALL SELECT *, 'medium', d AND relation <> 'near_miss' FROM j UNION ALL SELECT *, 'hard', score > 0 FROM j UNION ALL SELECT *, 'adversarial', relation IN ('near_miss', 'opposite_action') FROM j)
+      SELECT id, level, tool_id, NOT fits AS fallback, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id, level ORDER BY fits DESC, CASE WHEN level = 'easy' AND fits THEN 0 ELSE score END DESC, k, tool_id) AS r FROM l) WHERE r <= 3""",
     "d7_anchors": f"{ANCHORS} SELECT id, anchor FROM an",
     "d12_tool_mentions": f"{W} SELECT tl.tool_id, count(*) AS examples FROM tl JOIN routing_examples r ON tl.tool_id = r.correct_tool_id OR tl.tool_id = r.target_tool_id GROUP BY 1",
     "f12_gold_rank": "SELECT id, nullif(list_position(candidate_tool_ids, correct_tool_id), 0) AS gold_rank, coalesce(nullif(list_position(candidate_tool_ids, correct_tool_id), 0) <= 3, false) AS hit_at_3 FROM routing_examples",
