@@ -8,7 +8,8 @@ of an item's N positions, one of its N - c + 1 rarest must be there. Candidates
 (the shared shingles within a window of the item's size number c), and are verified word by word: every common run of q words
 is extended both ways, edit by edit, to the furthest reach, and the best stretch is held against the definition.
 
-Items are a stated query set: they are taken in blocks of bounded size against all rows; only a block's index is broadcast.
+Items are a stated query set: they are taken in blocks, by hash, of a bounded number of words against all rows; only one block and its index
+are held at a time.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callmetrics.llm.storage import checkpointed
 from callmetrics.llm.words import mix, words
 
 PART = 0.5
@@ -236,18 +237,14 @@ def leaking(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     however long; an empty table on either side gives no row; further columns are ignored.
     """
     docs = hashed(documents, doc_id, text)
-    blocks, size = [[]], 0
-    seen = set()
-    for r in hashed(items, item_id, text).toLocalIterator(prefetchPartitions=True):
-        key = (r["id"], tuple(r["h"]))
-        if not r["h"] or key in seen:
-            continue
-        seen.add(key)
-        if size + len(r["h"]) > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            seen, size = {key}, 0
-        blocks[-1].append((r["id"], np.array(r["h"], np.int64).view(np.uint64)))
-        size += len(r["h"])
-    if not blocks[0]:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    return reduce(DataFrame.union, [block_leaks(docs, b, part) for b in blocks]).distinct()
+    asked = hashed(items, item_id, text).where(F.size("h") > 0).distinct()
+    blocks = max(1, math.ceil((asked.agg(F.sum(F.size("h"))).first()[0] or 0) / BLOCK_WORDS))
+    if blocks > 1:
+        asked = checkpointed(asked)
+    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    for k in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("id", "h"), F.lit(blocks)) == k).collect()
+        if own:
+            found = block_leaks(docs, [(r["id"], np.array(r["h"], np.int64).view(np.uint64)) for r in own], part)
+            out = out.union(found if blocks == 1 else checkpointed(found))  # so that only one block is held at a time
+    return out.distinct()
