@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,7 +66,41 @@ def vocabulary(docs: DataFrame, min_share: float, min_docs: int) -> dict[str, in
     return {w: i for i, w in enumerate(sorted(r["w"] for r in counts.where(F.col("n") >= least).select("w").distinct().toArrow().to_pylist()))}
 
 
-BREAK = -1
+#: The end of a sentence and a word that is no feature, as numbers; the mark of an end within a text.
+BREAK, OTHER = -1, -2
+MARK = "\x00"
+
+
+class Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        return OTHER
+
+
+class Gaps(dict):
+    """Characters that are neither letters nor marks become blanks; each is looked at once."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = c if c == MARK or re.fullmatch(LETTERS, c) else " "
+        return self[code]
+
+
+def distinct_in_sentences(found: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The feature words of each sentence once, a ``BREAK`` after each that has any, and the offsets of the texts.
+
+    ``found`` holds the numbers of all words, a ``BREAK`` after each sentence and each of the texts' ``sizes``.
+    """
+    ends = found == BREAK
+    s = np.cumsum(ends) - ends
+    kept = found >= 0
+    pairs = np.unique(s[kept] * np.int64(words + 1) + found[kept])
+    sentence, word = pairs // (words + 1), (pairs % (words + 1)).astype(np.int32)
+    last = np.r_[sentence[1:] != sentence[:-1], [True] * (len(sentence) > 0)]
+    codes = np.full(len(word) + int(last.sum()), BREAK, np.int32)
+    codes[np.arange(len(word)) + np.cumsum(last) - last] = word
+    of = np.repeat(np.arange(len(sizes)), sizes)[ends]  # the text of each sentence
+    counts = np.bincount(of[sentence], minlength=len(sizes)) + np.bincount(of[sentence[last]], minlength=len(sizes))
+    return codes, np.r_[0, np.cumsum(counts)].astype(np.int32)
 
 
 def encoded(docs: DataFrame, words: dict[str, int]) -> DataFrame:
@@ -77,20 +111,17 @@ def encoded(docs: DataFrame, words: dict[str, int]) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, word = known.value, re.compile(SENTENCE), re.compile(LETTERS)
-        number = words.get
+        number, gaps, end = Numbers(known.value), Gaps(), re.compile(SENTENCE)
+        number[MARK] = BREAK
         for b in batches:
-            codes, offsets = array("i"), array("i", [0])
+            found, sizes = array("i"), []
             for t in b["text"].to_pylist():
-                for x in end.split(t.lower()):
-                    ids = set(map(number, word.findall(x)))
-                    ids.discard(None)
-                    if ids:
-                        codes.extend(ids)
-                        codes.append(BREAK)
-                offsets.append(len(codes))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.array(codes, np.int32)))
-            yield pa.RecordBatch.from_arrays([b["id"], b["stratum"], lists], ["id", "stratum", "codes"])
+                before = len(found)
+                found.extend(map(number.__getitem__, end.sub(f" {MARK} ", t.lower().replace(MARK, " ")).translate(gaps).split()))
+                found.append(BREAK)
+                sizes.append(len(found) - before)
+            codes, offsets = distinct_in_sentences(np.array(found, np.int32), np.array(sizes, np.int64), len(known.value))
+            yield pa.RecordBatch.from_arrays([b["id"], b["stratum"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes))], ["id", "stratum", "codes"])
 
     kind = dict(docs.dtypes)["id"]
     return checkpointed(docs.select("id", "stratum", "text").mapInArrow(cut, f"id {kind}, stratum int, codes array<int>"))
@@ -159,68 +190,101 @@ def independent(score: np.ndarray, odds: np.ndarray, curves: np.ndarray | None)
     return np.where(score > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
-def log_odds(counts: np.ndarray, dead: float = DEAD) -> np.ndarray:
-    """Complement weights: words x subjects, from counts of strata x words x (subjects + none).
+def log_odds(counts: Iterable[np.ndarray], dead: float = DEAD) -> np.ndarray:
+    """Complement weights: words x subjects, from a matrix of words x (subjects + none) for each stratum.
 
     The log of a word's count in a subject over what its share in the complement would give there, language by language, so
     that the words of a language whose documents lean to a subject don't pass for the subject's. Both are smoothed so that
     rare words weigh little; weights nearer zero than ``dead`` are none, as words of one phrase err together.
     """
-    total = counts.sum(axis=1, keepdims=True)
-    rest = counts.sum(axis=2, keepdims=True) - counts[:, :, :-1]
-    expected = rest * (total[:, :, :-1] / np.maximum(total.sum(axis=2, keepdims=True) - total[:, :, :-1], 1e-9))
-    odds = np.log((counts[:, :, :-1].sum(axis=0) + SMOOTH) / (expected.sum(axis=0) + SMOOTH))
+    own, expected = 0.0, 0.0
+    for m in counts:
+        total = m.sum(axis=0)
+        rest = m.sum(axis=1, keepdims=True) - m[:, :-1]
+        own = own + m[:, :-1]
+        expected = expected + rest * (total[:-1] / np.maximum(total.sum() - total[:-1], 1e-9))
+    odds = np.log((own + SMOOTH) / (expected + SMOOTH))
     return np.sign(odds) * np.clip(np.abs(odds) - dead, 0, MOST)
 
 
-def summed(rows: DataFrame, strata: int, n_words: int, n_classes: int) -> np.ndarray:
-    """Adds up rows (k, c, v) of count matrices."""
-    out = np.zeros((strata * n_words, n_classes))
-    t = rows.groupBy("k", "c").agg(F.sum("v").alias("v")).toArrow()
-    out[t["k"].to_numpy(), t["c"].to_numpy()] = t["v"].to_numpy()
-    return out.reshape(strata, n_words, n_classes)
+class Sums:
+    """Sums of ``classes`` numbers by key. Only keys that occur are held, at most some ``HELD``; more are emptied into a batch."""
+
+    HELD = 400_000
+
+    def __init__(self, classes: int):
+        self.classes, self.keys, self.rows = classes, [], []
+
+    def add(self, keys: np.ndarray, entry: np.ndarray, values: np.ndarray) -> None:
+        """Adds ``values[entry[i]]`` to ``keys[i]``."""
+        found, at = np.unique(keys, return_inverse=True)
+        self.keys.append(found)
+        self.rows.append(np.stack([np.bincount(at, values[entry, c], len(found)) for c in range(self.classes)], axis=1))
 
+    def emptied(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, self.keys)) <= self.HELD and not last or not self.keys:
+            return
+        found, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        rows = np.add.reduceat(np.concatenate(self.rows)[order], np.r_[0, np.flatnonzero(np.diff(at[order])) + 1], axis=0) if len(found) else np.zeros((0, self.classes))
+        if len(found) <= self.HELD * 3 // 4 and not last:
+            self.keys, self.rows = [found], [rows]
+            return
+        self.keys, self.rows = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(found), *[pa.array(np.ascontiguousarray(rows[:, c])) for c in range(self.classes)]], ["k", *[f"v{c}" for c in range(self.classes)]])
 
-def emit(counts: np.ndarray) -> pa.RecordBatch:
-    k, c = np.nonzero(counts)
-    return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c.astype(np.int32)), pa.array(counts[k, c])], ["k", "c", "v"])
+    @staticmethod
+    def ddl(classes: int) -> str:
+        return "k long, " + ", ".join(f"v{c} double" for c in range(classes))
 
 
-def labelled_counts(docs: DataFrame, labels: DataFrame, words: dict[str, int], n: int, strata: int) -> np.ndarray:
+def summed(rows: DataFrame, strata: int, n_words: int, n_classes: int) -> Iterator[np.ndarray]:
+    """Adds up the rows of ``Sums``: a matrix of words by classes for each stratum, one at a time."""
+    t = rows.groupBy("k").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in range(n_classes)]).orderBy("k").toArrow()
+    k = t["k"].to_numpy()
+    for stratum in range(strata):
+        lo, hi = np.searchsorted(k, [stratum * n_words, (stratum + 1) * n_words])
+        out = np.zeros((n_words, n_classes))
+        for c in range(n_classes):
+            out[k[lo:hi] - stratum * n_words, c] = t[f"v{c}"][lo:hi].to_numpy()
+        yield out
+
+
+def labelled_counts(docs: DataFrame, labels: DataFrame, words: dict[str, int], n: int, strata: int) -> Iterator[np.ndarray]:
     """Word counts by subject; a document's weight is shared among the subjects its annotators name."""
-    known = docs.sparkSession.sparkContext.broadcast(words)
+    many = len(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((strata * len(known.value), n + 1))
+        total = Sums(n + 1)
         for b in batches:
             w, s, d = sentences(b["codes"])
-            w = w + b["stratum"].to_numpy().astype(np.int64)[d[s]] * len(known.value)
-            own = np.array(b["v"].to_pylist(), float).reshape(-1, n)
+            w = w + b["stratum"].to_numpy().astype(np.int64)[d[s]] * many
+            own = np.c_[np.array(b["v"].to_pylist(), float).reshape(-1, n), np.zeros(b.num_rows)]
             once = np.unique(np.c_[w, d[s]].reshape(-1, 2), axis=0)  # words of one text err together, so a text counts once
-            np.add.at(total[:, :-1], once[:, 0], own[once[:, 1]])
-        yield emit(total)
+            total.add(once[:, 0], once[:, 1], own)
+            yield from total.emptied()
+        yield from total.emptied(last=True)
 
-    return summed(docs.join(labels, "id").select("codes", "stratum", "v").mapInArrow(count, "k long, c int, v double"), strata, len(words), n + 1)
+    return summed(docs.join(labels, "id").select("codes", "stratum", "v").mapInArrow(count, Sums.ddl(n + 1)), strata, many, n + 1)
 
 
-def expected_counts(docs: DataFrame, model: Model, none: float, strata: int) -> np.ndarray:
+def expected_counts(docs: DataFrame, model: Model, none: float, strata: int) -> Iterator[np.ndarray]:
     """Word counts by subject and none over all documents, weighted by the sentences' posteriors."""
     known = docs.sparkSession.sparkContext.broadcast(model)
+    classes = len(model.subjects) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = known.value
-        total = np.zeros((strata * len(m.words), len(m.subjects) + 1))
+        m, total = known.value, Sums(classes)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 x = b.slice(lo, 1000)
                 w, s, d = sentences(x["codes"])
                 at = w + x["stratum"].to_numpy().astype(np.int64)[d[s]] * len(m.words)
-                post = posteriors(w, s, d, x.num_rows, m.weights, none)
-                for c in range(total.shape[1]):
-                    total[:, c] += np.bincount(at, post[s, c], len(total))
-        yield emit(total)
+                total.add(at, s, posteriors(w, s, d, x.num_rows, m.weights, none))
+                yield from total.emptied()
+        yield from total.emptied(last=True)
 
-    return summed(docs.select("codes", "stratum").mapInArrow(count, "k long, c int, v double"), strata, len(model.words), len(model.subjects) + 1)
+    return summed(docs.select("codes", "stratum").mapInArrow(count, Sums.ddl(classes)), strata, len(model.words), classes)
 
 
 def label_votes(labels: DataFrame, subjects: list[str], doc_id: str) -> DataFrame:
@@ -290,7 +354,7 @@ def odds_calibrated(docs: DataFrame, votes: DataFrame, model: Model, sample: int
     n, bins = len(model.subjects), int(2 * BOUND / WIDTH) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, total = known.value, np.zeros((n * bins, 2))
+        m, total = known.value, Sums(2)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 x = b.slice(lo, 1000)
@@ -299,10 +363,11 @@ def odds_calibrated(docs: DataFrame, votes: DataFrame, model: Model, sample: int
                 named = np.array(x["v"].to_pylist(), float).reshape(-1, n) > 0
                 i, k = np.nonzero(score > 0)
                 at = k * bins + np.rint((np.clip(odds[i, k], -BOUND, BOUND) + BOUND) / WIDTH).astype(np.int64)
-                np.add.at(total, (at, named[d[i], k].astype(np.int64)), 1)
-        yield emit(total)
+                total.add(at, named[d[i], k].astype(np.int64), np.eye(2))
+                yield from total.emptied()
+        yield from total.emptied(last=True)
 
-    found = summed(docs.join(sampled(votes, sample), "id").select("codes", "v").mapInArrow(count, "k long, c int, v double"), n, bins, 2)
+    found = summed(docs.join(sampled(votes, sample), "id").select("codes", "v").mapInArrow(count, Sums.ddl(2)), n, bins, 2)
     x = np.arange(bins) * WIDTH - BOUND
     out = [logistic(np.r_[x, x], np.r_[np.zeros(bins), np.ones(bins)], np.r_[t[:, 0], t[:, 1]], (1.0, 0.0)) for t in found]
     return np.array([a if a[0] > 0 else (1.0, 0.0) for a in out])
