@@ -135,19 +135,23 @@ def strings(x) -> list[str]:
 
 
 INLINED = [c for c in plan(JSON_SCHEMA).tables["node"]]
-REPEATED = ("enum", "required", "type")
+#: Repeated leaves of a node, which the plan gives tables of their own.
+REPEATED = tuple(m for c, p, m in plan(JSON_SCHEMA).links if p == "node" and c != "node")
 NODE = pa.schema(
     [(c, pa.string()) for c in ("tool_id", "node_path", "parent_path", "member", "name")]
-    + [("ordinal", pa.int32()), ("depth", pa.int32())]
+    + [("ordinal", pa.int32()), ("depth", pa.int32()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("first", pa.bool_())]
     + [(c, pa.string()) for c in INLINED]
     + [(c, pa.list_(pa.string())) for c in REPEATED]
 )
-NODE_SQL = ", ".join(f"`{f.name}` " + ("array<string>" if pa.types.is_list(f.type) else "int" if pa.types.is_int32(f.type) else "string") for f in NODE)
+KEYS = [c for c in NODE.names if c not in INLINED and c not in REPEATED]
+NODE_SQL = ", ".join(f"`{f.name}` " + ("array<string>" if pa.types.is_list(f.type) else "int" if pa.types.is_int32(f.type) else "boolean" if pa.types.is_boolean(f.type) else "string") for f in NODE)
 
 
 def parsed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A row for each schema node, the root included, with inlined singletons as columns and repeated leaves as arrays.
 
+    ``node_id`` numbers a record's nodes from 0, the root, and ``parent_id`` names the parent's; as names may hold dots, two nodes
+    may have one spelled path, of which the one met first is ``first``.
     ``columns`` keeps only those, so that nothing else is built or moved.
     """
     kept = pa.schema([f for f in NODE if columns is None or f.name in columns])
@@ -162,19 +166,20 @@ def parsed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             arguments = b["arguments"]
             for k, (tool, text) in enumerate(zip(b["id"].to_pylist(), b["schema"].to_pylist())):
                 root = root_of(text, lambda k=k: arguments[k].as_py())
-                todo, seen = [("$", None, None, None, 0, 0, root)], set()
+                todo, seen, number = [("$", None, None, None, 0, 0, root, None)], set(), 0
                 while todo:
-                    path, parent, member, name, ordinal, depth, node = todo.pop()
+                    path, parent, member, name, ordinal, depth, node, above = todo.pop()
                     known = node if isinstance(node, dict) else {}
-                    if (path, parent) not in seen:  # names that hold dots may spell another node's path; its children count all the same
-                        seen.add((path, parent))
-                        for c, v in (("tool_id", tool), ("node_path", path), ("parent_path", parent), ("member", member), ("name", name), ("ordinal", ordinal), ("depth", depth)):
-                            add[c](v)
-                        for c in inlined:
-                            add[c](text_of(known.get(c)))
-                        for c in repeated:
-                            add[c](strings(known.get(c)))
-                    todo.extend((p, path, m, n, o, depth + 1, x) for p, m, n, o, x in children_of(path, known))
+                    values = (tool, path, parent, member, name, ordinal, depth, number, above, (path, parent) not in seen)
+                    for c, v in zip(KEYS, values):
+                        add[c](v)
+                    for c in inlined:
+                        add[c](text_of(known.get(c)))
+                    for c in repeated:
+                        add[c](strings(known.get(c)))
+                    seen.add((path, parent))
+                    todo.extend((p, path, m, n, o, depth + 1, x, number) for p, m, n, o, x in children_of(path, known))
+                    number += 1
             yield pa.RecordBatch.from_pydict(out, schema=kept)
 
     return df.select("id", "schema", "arguments").mapInArrow(cut, ddl)
@@ -193,20 +198,25 @@ def sources(df: DataFrame, id_col: str = "tool_id", order_col: str | None = "col
 
 def nodes(df: DataFrame, id_col: str = "tool_id", order_col: str | None = "collected_at") -> DataFrame:
     """tool_id, node_path, parent_path of every node below the root: the recursive table's keys alone."""
-    return parsed(sources(df, id_col, order_col), ["tool_id", "node_path", "parent_path"]).where("parent_path IS NOT NULL")
+    return parsed(sources(df, id_col, order_col), ["tool_id", "node_path", "parent_path", "first"]).where("parent_path IS NOT NULL AND first").drop("first")
 
 
 def shred(df: DataFrame, id_col: str = "tool_id", order_col: str | None = "collected_at") -> dict[str, DataFrame]:
     """The tables of the plan, each with its keys.
 
-    ``tool`` (tool_id, whether it has nodes), ``node`` (key tool_id + node_path + parent_path, foreign key parent_path to itself), and of each
-    node its ``enum_value``, ``required_name`` and ``type_name`` rows (foreign key tool_id + node_path, ordinal). Records
+    ``tool`` (tool_id), ``node`` (key tool_id + node_id, foreign key parent_id to itself, the spelled paths as columns), and of each
+    node its ``enum_value``, ``required_name`` and ``type_name`` rows (foreign key tool_id + node_id, ordinal). Records
     delivered again count once; null ids are left out; schemas that are null, blank, cut off or not objects are rebuilt
-    from ``arguments``, null arguments give a root without children; further columns are ignored.
+    from ``arguments``, null arguments give a root without children; further columns are ignored. The tables are views of one
+    relation: a caller that reads several of them keeps it first (``parsed(sources(df))`` in a checkpoint) and calls ``tables_of``.
     """
-    rows = parsed(sources(df, id_col, order_col))
-    tables = {"tool": rows.where("parent_path IS NULL").select("tool_id", F.col("node_path").alias("root_path")), "node": rows.drop(*REPEATED)}
+    return tables_of(parsed(sources(df, id_col, order_col)))
+
+
+def tables_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables of parsed nodes, as the plan's links say."""
+    tables = {"tool": rows.where("parent_id IS NULL").select("tool_id", F.col("node_path").alias("root_path")), "node": rows.drop(*REPEATED, "first")}
     for child, parent, member in plan(JSON_SCHEMA).links:
         if child not in ("tool", "node"):
-            tables[child] = rows.select("tool_id", "node_path", F.posexplode(member).alias("ordinal", "value"))
+            tables[child] = rows.select("tool_id", "node_id", "node_path", F.posexplode(member).alias("ordinal", "value"))
     return tables
