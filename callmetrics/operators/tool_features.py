@@ -143,7 +143,7 @@ def features(df: DataFrame) -> DataFrame:
         "source_category": F.when(made, "safe_synthetic_mcp_like").otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv]), F.col("source_type")), F.col("source_type"))),
         "hints": F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(F.col("said").contains(m), label) for m, label in HINTS]))), ","),
     })
-    df = df.withColumn("clean_domain", F.coalesce("canonical", "inferred_domain"))
+    df = df.withColumn("resolved_domain", F.coalesce("canonical", "inferred_domain"))
     hinted = F.col("said").rlike("similar|variant|mode|filter|selector")
     hard = F.col("has_object") | F.col("has_array") | (F.col("num_enum") > 0) | F.col("side_effect_type").isin(*MUTATING) | (F.col("ambiguity") >= 0.45) | hinted | (n > 5)
     medium = n.between(3, 5) | (n > F.col("num_required"))

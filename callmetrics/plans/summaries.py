@@ -141,7 +141,7 @@ BALANCE = (("sources", "sources", 3), ("domains", "domains", 10), ("side_effects
 
 def f5_balance(spark, d):
     """Checks of a set's balance: what it has, what it needs, and whether that holds."""
-    g = featured(spark, d).agg(F.countDistinct("source_type").alias("sources"), F.countDistinct("clean_domain").alias("domains"), F.count_if(F.col("side_effect_type").isin("write", "delete", "execute", "external_communication")).alias("acting"), F.count_if(F.col("difficulty") == "hard").alias("hard"), F.count_if(F.col("completeness") >= 0.5).alias("documented"))
+    g = featured(spark, d).agg(F.countDistinct("source_type").alias("sources"), F.countDistinct("resolved_domain").alias("domains"), F.count_if(F.col("side_effect_type").isin("write", "delete", "execute", "external_communication")).alias("acting"), F.count_if(F.col("difficulty") == "hard").alias("hard"), F.count_if(F.col("completeness") >= 0.5).alias("documented"))
     rows = F.array(*[F.struct(F.lit(c).alias("check_id"), F.col(k).alias("actual"), F.lit(n).alias("required"), (F.col(k) >= n).alias("ok")) for c, k, n in BALANCE])
     return g.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -317,7 +317,7 @@ SQL = {
     "e28_progress": f"{H}, c AS (SELECT model_slug, baseline_name, count(DISTINCT task_id) AS done FROM pr WHERE task_id IN (SELECT source_control_id FROM routing_examples) GROUP BY 1, 2) SELECT model_slug, baseline_name, least(done, {T}) AS completed, {T} AS total, round(100 * least(done, {T}) / {T}, 2) AS percent FROM c",
     "e31_sweep": f"{H}, m AS (SELECT model_slug, baseline_name, {M('joint_exact_match')} AS joint_exact_match FROM pr GROUP BY 1, 2) SELECT *, round(joint_exact_match - max(joint_exact_match) OVER (PARTITION BY model_slug), 4) AS from_best FROM m",
     "f2_dedupe": f"WITH {TOOLS} SELECT coalesce(server_name, '') AS server_name, coalesce(tool_name, '') AS tool_name, min(tool_id) AS tool_id, count(*) AS copies FROM tl GROUP BY 1, 2",
-    "f5_balance": f"""{FEAT}, g AS (SELECT count(DISTINCT source_type) AS sources, count(DISTINCT clean_domain) AS domains, count_if(side_effect_type IN ('write', 'delete', 'execute', 'external_communication')) AS acting, count_if(difficulty = 'hard') AS hard, count_if(completeness >= 0.5) AS documented FROM ft)
+    "f5_balance": f"""{FEAT}, g AS (SELECT count(DISTINCT source_type) AS sources, count(DISTINCT resolved_domain) AS domains, count_if(side_effect_type IN ('write', 'delete', 'execute', 'external_communication')) AS acting, count_if(difficulty = 'hard') AS hard, count_if(completeness >= 0.5) AS documented FROM ft)
       {' UNION ALL '.join(f"SELECT '{c}' AS check_id, {k} AS actual, {n} AS required, {k} >= {n} AS ok FROM g" for c, k, n in BALANCE)}""",
     "f13_policy_choice": f"""{COMPONENTS}, r AS (SELECT baseline_name, tool_name, round(v, 6) AS v, round(p, 6) AS p, round(n, 6) AS n, round(c, 6) AS c, round(s, 6) AS s, round(1200 * (1 - s), 6) AS tokens, score FROM sc),
       g AS (SELECT tool_name, {PICK('(v, c, s, -tokens, baseline_name)')} AS best_validation_only, {PICK('(n, p, v, c, baseline_name)')} AS best_behavior_dev, {PICK('(score, v, n, baseline_name)')} AS best_reliability_score, {PICK('(p + n, v, c, baseline_name)')} AS oracle_upper_bound_dev FROM r GROUP BY 1)

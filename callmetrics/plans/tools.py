@@ -77,16 +77,16 @@ def typed_domain():
 
 def b8_domains(spark, d):
     """Canonical domains: aliases resolved, missing ones inferred from the texts."""
-    return featured(spark, d).groupBy("clean_domain", F.col("canonical").isNull().alias("inferred")).agg(F.count(F.lit(1)).alias("tools"))
+    return featured(spark, d).groupBy("resolved_domain", F.col("canonical").isNull().alias("inferred")).agg(F.count(F.lit(1)).alias("tools"))
 
 
 def e7_dataset_stats(spark, d):
-    df = featured(spark, d).withColumn("domain", F.col("clean_domain"))
+    df = featured(spark, d).withColumn("domain", F.col("resolved_domain"))
     return df.groupBy("source_type", "domain", "side_effect_type").agg(F.count(F.lit(1)).alias("tools"), F.countDistinct("server_name").alias("servers"), stats.mean(F.col("num_arguments")).alias("avg_arguments"), stats.mean(F.col("ambiguity")).alias("avg_ambiguity"))
 
 
 def e8_domain_complexity(spark, d):
-    df = featured(spark, d).withColumn("domain", F.col("clean_domain"))
+    df = featured(spark, d).withColumn("domain", F.col("resolved_domain"))
     return df.groupBy("domain").agg(F.count(F.lit(1)).alias("tools"), stats.mean(F.col("num_arguments")).alias("avg_arguments"), stats.mean(F.col("num_required")).alias("avg_required"), F.count_if("has_object").alias("nested"), F.count_if("has_array").alias("arrays"), F.sum("num_enum").cast("long").alias("enums"), stats.mean(F.col("documentation_length")).alias("avg_doc"), F.count_if(F.col("difficulty") == "hard").alias("hard"))
 
 
@@ -300,8 +300,8 @@ f2 AS (SELECT *, {FIRST(tf.SIDE_EFFECTS, "'unknown'", 'acting')} AS side_effect_
     + CASE WHEN coalesce(json_type(j, '$.additionalProperties') = 'BOOLEAN' AND json_extract_string(j, '$.additionalProperties') = 'false', false) THEN 0 ELSE 0.15::DOUBLE END + CASE WHEN num_enum = 0 AND has_string THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN num_arguments >= 5 THEN 0.1::DOUBLE ELSE 0 END) + 1e-9::DOUBLE, 4) AS ambiguity,
   round(least(1, CASE WHEN documentation_length > 0 THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN coalesce(len(doc_snippets), 0) > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN listed > 0 THEN 0.4::DOUBLE * described / listed ELSE 0 END) + 1e-9::DOUBLE, 4) AS completeness FROM f1),
 ft AS (SELECT *, CASE WHEN has_object OR has_array OR num_enum > 0 OR side_effect_type IN ('write', 'delete', 'execute', 'external_communication') OR ambiguity >= 0.45 OR regexp_matches(said, 'similar|variant|mode|filter|selector') OR num_arguments > 5 THEN 'hard'
-  WHEN num_arguments BETWEEN 3 AND 5 OR num_arguments > num_required THEN 'medium' ELSE 'easy' END AS difficulty, coalesce(canonical, inferred_domain) AS clean_domain,
-  coalesce(nullif(trim(regexp_replace(lower(coalesce(domain, '')), '\\s+', ' ', 'g')), ''), 'general') AS typed_domain FROM f2)"""
+  WHEN num_arguments BETWEEN 3 AND 5 OR num_arguments > num_required THEN 'medium' ELSE 'easy' END AS difficulty, coalesce(canonical, inferred_domain) AS resolved_domain,
+  coalesce(nullif(trim(regexp_replace(lower(coalesce(domain, '')), '\\s+', ' ', 'g')), ''), 'general') AS clean_domain FROM f2)"""
 #: kj: tools with a text c that is equal for schemas that are one JSON value: their (path, leaf) pairs in order.
 CANON = f"""WITH {TOOLS}, {SCHEMAS}, tr AS (SELECT tool_id, unnest(list_transform(list_zip(t.k, t.v, t.y), lambda x: x)) AS x FROM (SELECT tool_id, (SELECT {{'k': list(fullkey ORDER BY fullkey), 'v': list(CASE WHEN type IN ('OBJECT', 'ARRAY') THEN type ELSE value::VARCHAR END ORDER BY fullkey), 'y': list(type ORDER BY fullkey)}} FROM json_tree(j)) AS t FROM sj)),
 kt AS (SELECT tool_id, list(x[1] || '=' || x[2] ORDER BY x[1]) AS c FROM tr GROUP BY 1), kj AS (SELECT tl.tool_id, tl.tool_name, coalesce(kt.c, []) AS c FROM tl LEFT JOIN kt USING (tool_id))"""
@@ -319,15 +319,15 @@ SQL = {
     "b33_tokens": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) AS tokens, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS blank_words FROM documents",
     "b33_tokens_by_kind": r"SELECT doc_kind, coalesce(lang, 'unknown') AS lang, count(*) AS documents, CAST(sum(t) AS BIGINT) AS tokens, max(t) AS longest FROM (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) AS t FROM documents) GROUP BY 1, 2",
     "c23_violations": W + " ".join(f"{'' if i == 0 else 'UNION ALL'} SELECT '{c}' AS field, count(*) AS missing FROM tl WHERE trim(coalesce({c}, '')) = ''" for i, c in enumerate(("tool_name", "tool_purpose", "server_name", "domain"))),
-    "e7_dataset_stats": f"{FEAT} SELECT source_type, clean_domain AS domain, side_effect_type, count(*) AS tools, count(DISTINCT server_name) AS servers, {M('num_arguments')} AS avg_arguments, {M('ambiguity')} AS avg_ambiguity FROM ft GROUP BY 1, 2, 3",
-    "e8_domain_complexity": f"{FEAT} SELECT clean_domain AS domain, count(*) AS tools, {M('num_arguments')} AS avg_arguments, {M('num_required')} AS avg_required, count_if(has_object) AS nested, count_if(has_array) AS arrays, CAST(sum(num_enum) AS BIGINT) AS enums, {M('documentation_length')} AS avg_doc, count_if(difficulty = 'hard') AS hard FROM ft GROUP BY 1",
+    "e7_dataset_stats": f"{FEAT} SELECT source_type, resolved_domain AS domain, side_effect_type, count(*) AS tools, count(DISTINCT server_name) AS servers, {M('num_arguments')} AS avg_arguments, {M('ambiguity')} AS avg_ambiguity FROM ft GROUP BY 1, 2, 3",
+    "e8_domain_complexity": f"{FEAT} SELECT resolved_domain AS domain, count(*) AS tools, {M('num_arguments')} AS avg_arguments, {M('num_required')} AS avg_required, count_if(has_object) AS nested, count_if(has_array) AS arrays, CAST(sum(num_enum) AS BIGINT) AS enums, {M('documentation_length')} AS avg_doc, count_if(difficulty = 'hard') AS hard FROM ft GROUP BY 1",
     "e9_difficulty_by_domain": f"{FEAT} SELECT inferred_domain, difficulty, count(*) AS tools, count_if(auth_required) AS auth FROM ft GROUP BY 1, 2",
     "e10_histograms": FEAT + " UNION ALL ".join(f" SELECT '{c}' AS column_name, {c} AS value, count(*) AS tools FROM ft GROUP BY 2" for c in ("side_effect_type", "difficulty", "source_type", "inferred_domain")),
     "e30_document_frequency": f"SELECT token, count(*) AS documents FROM (SELECT unnest(list_distinct({RETR('text')})) AS token FROM documents) GROUP BY 1",
     "f23_top_terms": f"{W} SELECT token, count(*) AS tools FROM (SELECT unnest(list_distinct({DIST('tool_name')})) AS token FROM tl) GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 32",
     "f1_dedupe": f"{CANON} SELECT {NAME('tool_name')} AS name, min(tool_id) AS tool_id, count(*) AS copies FROM kj GROUP BY 1, c",
     "b3_schema_hash": f"{CANON} SELECT min(tool_id) AS first_tool, count(*) AS tools FROM kj GROUP BY c HAVING count(*) > 1",
-    "b8_domains": f"{FEAT} SELECT clean_domain, canonical IS NULL AS inferred, count(*) AS tools FROM ft GROUP BY 1, 2",
+    "b8_domains": f"{FEAT} SELECT resolved_domain, canonical IS NULL AS inferred, count(*) AS tools FROM ft GROUP BY 1, 2",
     "f3_source_cap": f"{W} SELECT source_type, tool_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY tool_id) AS rank FROM tl) WHERE rank <= 50",
     "f4_fraction_cap": f"{W}, k AS (SELECT floor(0.1::DOUBLE * count(*) / 0.9::DOUBLE) AS cap FROM tl WHERE source_type <> 'handwritten') SELECT tool_id, source_type FROM (SELECT *, row_number() OVER (PARTITION BY source_type = 'handwritten' ORDER BY tool_id) AS r FROM tl) WHERE source_type IS DISTINCT FROM 'handwritten' OR r <= (SELECT cap FROM k)",
     "f9_shuffled": f"{W} SELECT tool_id FROM tl ORDER BY md5('42|' || tool_id) LIMIT 100",
@@ -341,7 +341,7 @@ SQL = {
     "x_memory_kinds": f"""{W}, mm AS (SELECT tool_id, 'purpose' AS kind, tool_purpose AS txt FROM tl UNION ALL SELECT tool_id, 'doc', unnest(doc_snippets) FROM tl UNION ALL SELECT tool_id, 'warning', unnest(usage_warnings) FROM tl
       UNION ALL SELECT tool_id, 'argument', a.description FROM (SELECT tool_id, unnest(arguments) AS a FROM tl))
       SELECT kind, count(*) AS rows, count(DISTINCT tool_id) AS tools, CAST(sum(len(list_filter(regexp_split_to_array(txt, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS words FROM mm WHERE trim(txt) <> '' GROUP BY 1""",
-    "d13_adjacent": f"{FEAT} SELECT a.tool_id, coalesce((SELECT min(b.tool_id) FROM ft b WHERE b.typed_domain = a.typed_domain AND b.tool_id <> a.tool_id), (SELECT CASE WHEN min(b.tool_id) <> a.tool_id THEN min(b.tool_id) END FROM ft b)) AS adjacent FROM ft a",
+    "d13_adjacent": f"{FEAT} SELECT a.tool_id, coalesce((SELECT min(b.tool_id) FROM ft b WHERE b.clean_domain = a.clean_domain AND b.tool_id <> a.tool_id), (SELECT CASE WHEN min(b.tool_id) <> a.tool_id THEN min(b.tool_id) END FROM ft b)) AS adjacent FROM ft a",
     "x_sources": f"{FEAT} SELECT source_type, count(*) AS tools, count(DISTINCT server_name) AS servers, array_to_string(list_sort(list(DISTINCT side_effect_type)), ',') AS effects FROM ft GROUP BY 1",
     "x_warnings": f"{W} SELECT regexp_replace(w, '[0-9]+', '#', 'g') AS warning, count(*) AS times, count(DISTINCT tool_id) AS tools FROM (SELECT tool_id, unnest(usage_warnings) AS w FROM tl) WHERE w IS NOT NULL GROUP BY 1",
 }
