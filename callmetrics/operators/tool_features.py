@@ -104,6 +104,15 @@ def canonical_domain(domain: Column) -> Column:
 EMPTY = "array<string>"
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The same rows; what is built on their columns doesn't evaluate them again.
+
+    The optimizer would otherwise copy an expression to each place that uses it, and a lambda would evaluate it for every
+    element. A row number can't be copied, so the projection stays; columns nobody uses are still pruned.
+    """
+    return df.withColumn("at", F.monotonically_increasing_id()).where(F.col("at") >= 0).drop("at")
+
+
 def features(df: DataFrame) -> DataFrame:
     """The derived columns of tools (tool_name, tool_purpose, server_name, domain, source_type, arguments, doc_snippets, input_schema_raw).
 

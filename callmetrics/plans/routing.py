@@ -151,9 +151,9 @@ def error_lines(spark, d):
     The window of five lines is taken within the row, over the list of its lines: nothing is shuffled.
     """
     marks = F.transform(F.split("text", "\n"), lambda x: F.struct(x.rlike("error [0-9]+").alias("hit"), F.lower(x).rlike("reject|refus").alias("near")))
-    lines = read(spark, d, "documents").select("doc_id", marks.alias("m"))
+    lines = tf.once(read(spark, d, "documents").select("doc_id", marks.alias("m")))
     around = lambda x, i: F.struct(x["hit"].alias("hit"), F.exists(F.slice("m", F.greatest(i - 1, F.lit(1)), F.least(i + 3, F.lit(5))), lambda y: y["near"]).alias("near"))
-    found = lines.select("doc_id", F.filter(F.transform("m", around), lambda x: x["hit"]).alias("f"))
+    found = tf.once(lines.select("doc_id", F.filter(F.transform("m", around), lambda x: x["hit"]).alias("f")))
     return found.where(F.size("f") > 0).select("doc_id", F.size("f").cast("long").alias("errors"), F.size(F.filter("f", lambda x: x["near"])).cast("long").alias("with_marker"))
 
 
