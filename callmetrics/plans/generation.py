@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callmetrics.functions import text
-from callmetrics.plans.tools import COLLAPSE, FEAT, d13_adjacent, featured
+from callmetrics.plans.tools import COLLAPSE, FEAT, NAME, d13_adjacent, featured
 from callmetrics.plans.tools import SQL as TOOL_SQL
 from callmetrics.plans.views import ABSTAIN, TOOLS, tools
 
@@ -154,7 +154,36 @@ def c20_shield(spark, d):
     return t.groupBy(reason.alias("reason"), "side_effect_type").agg(F.count(F.lit(1)).alias("snippets"), F.countDistinct("tool_id").alias("tools"))
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "cej" and k[1:2].isdigit()}
+def b16_tool_ir(spark, d):
+    """A row for each argument of each tool as parsed: place, type, whether required, numbers of listed values and nested members, digest of the default."""
+    a = tools(spark, d, "arguments").select("tool_id", F.posexplode("arguments").alias("place", "a"))
+    nested = F.coalesce(F.size(F.map_keys(F.try_variant_get(F.try_parse_json("a.properties"), "$", "map<string,variant>"))), F.lit(0))
+    return a.select("tool_id", "place", F.col("a.name").alias("name"), F.coalesce("a.type", F.lit("string")).alias("type"), F.coalesce("a.required", F.lit(False)).alias("required"), F.greatest(F.coalesce(F.size("a.enum"), F.lit(0)), F.lit(0)).alias("listed"), nested.alias("members"), F.md5("a.default_value").alias("default_digest"))
+
+
+def n27_deep_scan(spark, d):
+    """Tools whose schema marks any node, at any depth, as nullable, by source type."""
+    t = featured(spark, d).withColumn("hit", F.col("schema_json").rlike('"nullable":true'))
+    return t.groupBy("source_type").agg(F.count(F.lit(1)).alias("tools"), F.count_if("hit").alias("nullable"))
+
+
+def e25_conversion(spark, d):
+    """Of each source type: tools, those a conversion keeps, and why the others are skipped, as counts in one text."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    why = F.when(blank("tool_name"), "missing_name").when(blank("tool_purpose"), "missing_description").when(F.col("input_schema_raw").isNull(), "missing_schema").when(F.try_parse_json("input_schema_raw").isNull(), "unreadable_schema")
+    n = tools(spark, d, "source_type", "tool_name", "tool_purpose", "input_schema_raw").groupBy("source_type", why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
+    reasons = F.array_join(F.sort_array(F.collect_list(F.when(F.col("why").isNotNull(), F.concat_ws("=", "why", "n")))), "; ")
+    return n.groupBy("source_type").agg(F.sum("n").alias("tools"), F.sum(F.when(F.col("why").isNull(), F.col("n")).otherwise(0)).alias("converted"), reasons.alias("skip_reasons"))
+
+
+def g6_shared_prefix(spark, d):
+    """Tools of one source type whose names begin with the same two words, and how many of these there are: counts, no groups."""
+    parts = F.slice(F.split(text.tool_name(F.col("tool_name")), "_"), 1, 2)
+    t = tools(spark, d, "source_type", "tool_name").select("source_type", F.array_join(parts, "_").alias("prefix"))
+    return t.groupBy("source_type", "prefix").agg(F.count(F.lit(1)).alias("tools")).where("tools > 1")
+
+
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0] in "bcegjn" and k[1:2].isdigit()}
 QUERIES.pop("d13_adjacent", None)
 
 
@@ -199,6 +228,15 @@ SQL = {
 }
 
 
+SQL |= {
+    "b16_tool_ir": f"{W}, e AS (SELECT tool_id, unnest(arguments) AS a, unnest(range(len(arguments))) AS place FROM tl) SELECT tool_id, place, a.name AS name, coalesce(a.type, 'string') AS type, coalesce(a.required, false) AS required, coalesce(len(a.enum), 0) AS listed, CASE WHEN json_valid(a.properties) AND json_type(a.properties) = 'OBJECT' THEN len(json_keys(a.properties)) ELSE 0 END AS members, md5(a.default_value) AS default_digest FROM e",
+    "n27_deep_scan": f"""{FEAT} SELECT source_type, count(*) AS tools, count_if(contains(j::VARCHAR, '"nullable":true')) AS nullable FROM ft GROUP BY 1""",
+    "e25_conversion": f"""{W}, y AS (SELECT source_type, CASE WHEN trim(coalesce(tool_name, '')) = '' THEN 'missing_name' WHEN trim(coalesce(tool_purpose, '')) = '' THEN 'missing_description' WHEN input_schema_raw IS NULL THEN 'missing_schema' WHEN NOT json_valid(input_schema_raw) THEN 'unreadable_schema' END AS why, count(*) AS n FROM tl GROUP BY 1, 2)
+      SELECT source_type, CAST(sum(n) AS BIGINT) AS tools, CAST(coalesce(sum(n) FILTER (why IS NULL), 0) AS BIGINT) AS converted, coalesce(array_to_string(list_sort(list(why || '=' || n) FILTER (why IS NOT NULL)), '; '), '') AS skip_reasons FROM y GROUP BY 1""",
+    "g6_shared_prefix": f"{W} SELECT source_type, array_to_string(string_split({NAME('tool_name')}, '_')[1:2], '_') AS prefix, count(*) AS tools FROM tl GROUP BY 1, 2 HAVING count(*) > 1",
+}
+
+
 def shield_sql() -> str:
     from callmetrics.plans.retrieval import DOC, LIST
 
